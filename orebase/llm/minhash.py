@@ -8,7 +8,7 @@ signature, kept from `matches` agreements on, and confirmed on the full shingle
 
 A posting list never becomes all of its pairs: first every member is compared with the list's
 smallest member only; then members that still lie in different components are compared with
-each other. A true link is lost only where two sets of at least the wanted similarity agree in
+each other, block against block in long lists, and only links that join components come out. A true link is lost only where two sets of at least the wanted similarity agree in
 fewer than `matches` coordinates (under 1 in 500,000 at the default figures).
 """
 
@@ -29,6 +29,8 @@ from .components import components
 BROADCAST_IDS = 2_000_000
 #: Members of a posting list that one task compares at once.
 BLOCK = 512
+#: Members of a posting list that are paired in a join.
+SHORT = 16
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -45,6 +47,11 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield rolling(hashes[start[i] : start[i + 1]], n) if n else np.zeros(0, np.uint64)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(common) and 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def signature(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     out = np.full(len(factors), 0xFFFFFFFF, np.uint32)
@@ -84,44 +91,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, perc
             both = [shingle_sets(string_column(batch.column(i)), k) for i in (2, 3)]
             good = []
             for x, y in zip(*both, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
+                good.append(similar(x, y, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_texts = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _mixed_pairs(posts: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Pairs of a posting list whose members lie in different components; posts: (coord, val, id, n, c)."""
-    lists = posts.groupBy("coord", "val").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("coord", "val", "size")
-    mixed = materialise(posts.join(lists, ["coord", "val"]), "mixed")
+def _mixed(posts: DataFrame, joined: DataFrame) -> DataFrame:
+    """The posts (coord, val, id, n, c, size) of lists whose members lie in different components c."""
+    placed = posts.join(joined, "id", "left").select("coord", "val", "id", "n", F.coalesce("found", "id").alias("c"))
+    lists = placed.groupBy("coord", "val").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("coord", "val", "size")
+    return materialise(placed.join(lists, ["coord", "val"]), "mixed")
+
+
+def _short_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a short list's members that lie in different components and may be similar by size."""
     sizes_near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    few = mixed.where(f"size <= {BLOCK // 16}")
+    few = mixed.where(f"size <= {SHORT}")
     other = few.select("coord", "val", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    short = few.join(other, ["coord", "val"]).where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & sizes_near).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return few.join(other, ["coord", "val"]).where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & sizes_near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
 
-    long = mixed.where(f"size > {BLOCK // 16}").withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
+def _long_links(mixed: DataFrame, own: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int, matches: int, coordinates: int) -> DataFrame:
+    """Links (a, b) that join what the members of long lists can be joined to, found block against block.
+
+    A block holds BLOCK members at most. Pairs are counted on whole signatures and confirmed on
+    whole texts inside the task; a pair whose ends are joined already is passed over.
+    """
+    long = mixed.where(f"size > {SHORT}").withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
     long = long.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("partner", F.explode(F.expr("sequence(0, blocks - 1)")))
-    long = long.withColumn("lo", F.least("block", "partner")).withColumn("hi", F.greatest("block", "partner")).join(sets.select("id", "sig"), "id")
+    long = long.withColumn("lo", F.least("block", "partner")).withColumn("hi", F.greatest("block", "partner"))
+    counts = F.map_from_entries(F.transform("t", lambda x: F.struct(x["coord"], x["f"])))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda c: F.coalesce(F.try_element_at(counts, c), F.lit(1)))
+    wanted = long.select("id").distinct()
+    facts = sets.select("id", "sig").join(own.select("id", counts.alias("counts")), "id").join(wanted, "id", "left_semi").join(texts, "id")
+    long = long.join(facts, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = pdf[pdf.block == pdf.lo]
         hi = lo if pdf.lo.iat[0] == pdf.hi.iat[0] else pdf[pdf.block == pdf.hi]
         if not len(lo) or not len(hi):
             return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        x, y = np.stack(lo.sig.to_numpy()), np.stack(hi.sig.to_numpy())
+        x, y, counts = np.stack(lo.sig.to_numpy()), np.stack(hi.sig.to_numpy()), np.stack(lo["counts"].to_numpy()).astype(np.int64)
         agreed = np.zeros((len(lo), len(hi)), np.int16)
-        for j in range(x.shape[1]):
-            agreed += x[:, j, None] == y[None, :, j]
+        first = np.full(agreed.shape, np.iinfo(np.int64).max)
+        for j in range(coordinates):
+            same = x[:, j, None] == y[None, :, j]
+            agreed += same
+            np.minimum(first, (counts[:, j] * coordinates + j)[:, None], out=first, where=same)
+        here = int(pdf.coord.iat[0])
         n, m = lo.n.to_numpy()[:, None], hi.n.to_numpy()[None, :]
-        ok = (agreed >= matches) & (lo.c.to_numpy()[:, None] != hi.c.to_numpy()[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        # A pair is told once, by the rarest posting that it shares.
+        ok = (agreed >= matches) & (first == (counts[:, here] * coordinates + here)[:, None])
+        ok &= (lo.c.to_numpy()[:, None] != hi.c.to_numpy()[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         i, j = np.nonzero(ok)
-        a, b = lo.id.to_numpy()[i], hi.id.to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        order = np.argsort(-agreed[i, j], kind="stable")
+        full = [list(shingle_sets(pa.array(side.text, pa.large_string()), k)) for side in (lo, hi)]
+        ids, comps, up, links = (lo.id.tolist(), hi.id.tolist()), (lo.c.tolist(), hi.c.tolist()), {}, []
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
 
-    blocks = long.select("coord", "val", "lo", "hi", "block", "id", "n", "c", "sig").groupBy("coord", "val", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
-    return short.union(blocks).distinct()
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            p, q = top(comps[0][x]), top(comps[1][y])
+            if p != q and similar(full[0][x], full[1][y], percent):
+                up[max(p, q)] = min(p, q)
+                links.append((ids[0][x], ids[1][y]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    rows = long.select("coord", "val", "lo", "hi", "block", "id", "n", "c", "sig", "counts", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("coord", "val", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = 64, matches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +191,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     tokens = sets.select("id", "n", F.posexplode("sig").alias("coord", "val"))
     shared = tokens.groupBy("coord", "val").agg(F.count("*").alias("f")).where("f > 1")
     own = tokens.join(shared, ["coord", "val"]).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "coord", "val"))).alias("t"))
+    own = own.where(F.size("t") > coordinates - prefix)
+    own = materialise(own, "shared_postings")
     slots = F.lit(prefix - coordinates) + F.size("t")  # what the postings without partners leave of the prefix
-    posts = materialise(own.where(slots > 0).select("id", "n", F.explode(F.slice("t", F.lit(1), slots)).alias("t")).select("id", "n", "t.coord", "t.val"), "posts")
+    posts = own.select("id", "n", F.explode(F.slice("t", F.lit(1), slots)).alias("t")).select("id", "n", "t.coord", "t.val")
 
     hubs = posts.groupBy("coord", "val").agg(F.min(F.struct("id", "n")).alias("h"))
     stars = posts.join(hubs, ["coord", "val"]).where(f"id <> h.id and 100 * least(n, h.n) >= {percent} * greatest(n, h.n)").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -159,10 +203,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     texts = materialise(only(docs, id=id_col, text=text_col).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     first = materialise(_confirmed(stars, sets, texts, k, percent, matches), "links")
 
-    joined = components(first).withColumnRenamed("component_id", "found")
-    placed = posts.join(joined, "id", "left").select("coord", "val", "id", "n", F.coalesce("found", "id").alias("c"))
-    rest = _mixed_pairs(placed, sets, percent, matches).join(stars, ["a", "b"], "left_anti")
-    links = first.union(_confirmed(materialise(rest, "rest"), sets, texts, k, percent, matches))
+    mixed = _mixed(posts, components(first).withColumnRenamed("component_id", "found"))
+    rest = materialise(_short_pairs(mixed, percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    links = first.union(_confirmed(rest, sets, texts, k, percent, matches)).union(_long_links(mixed, own, sets, texts, k, percent, matches, coordinates))
     # Rows of one id tie their texts' classes together.
     ties = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = components(links.union(ties)).select(F.col("id").alias("rep"), "component_id")
