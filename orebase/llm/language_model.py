@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACED, Words, materialise, only, steps, string_column, word_hashes
 
 CLASSES, DIMS = 1024, 16
-#: Most frequent words whose counts every task holds: 8 MB. The others meet their counts in a join.
-HELD_WORDS = 500_000
+#: Most frequent words whose counts every task holds, at most: 3 MB. The others meet their counts in a join.
+HELD_WORDS = 200_000
 BATCH, NOISE = 8192, 64
 #: Word hashes are 64 bits; no word hashes to this value's place in practice, it stands for the end of a text.
 END = np.uint64(0xE0D0F0E0D0F0E0D1)
@@ -62,11 +62,16 @@ class Vocabulary:
     unigram: np.ndarray
     rest_total: int
     rest_size: int
+    least: int
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
         whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-        top = counts.orderBy(F.col("c").desc(), "word").limit(HELD_WORDS).toPandas()  # bounded
+        # Words by eighths of a power of two of their count: the lowest count from which on at most HELD_WORDS words lie.
+        by_size = counts.groupBy(F.floor(F.log2("c") * 8).alias("e")).agg(F.count("*").alias("words"), F.min("c").alias("least")).toPandas().sort_values("e", ascending=False)
+        fits = by_size[by_size.words.cumsum() <= HELD_WORDS]
+        least = int(fits.least.min()) if len(fits) else 1 << 62
+        top = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])  # bounded above
         words, c = top.word.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
         known = np.zeros(len(words), bool)
         known[: CLASSES - 2] = True
@@ -77,7 +82,7 @@ class Vocabulary:
         rest = total - int(c[known].sum())
         unigram[CLASSES - 1] = rest + 1
         order = np.argsort(words)
-        return cls(words[order], c[order], classes[order], total, size, (unigram + 0.5) / (unigram + 0.5).sum(), rest, size - int(known.sum()))
+        return cls(words[order], c[order], classes[order], total, size, (unigram + 0.5) / (unigram + 0.5).sum(), rest, size - int(known.sum()), least)
 
     def find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of word hashes; the count is -1 where the task doesn't hold it."""
@@ -262,9 +267,8 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     kind = base.schema["doc_id"].dataType.simpleString()
     scored = materialise(base.select("key", "doc_id", "text").mapInArrow(run, f"key bigint, doc_id {kind}, n_tokens bigint, held bigint, own double, lm double, rare array<bigint>"), "scored")
     if vocabulary.size > len(vocabulary.words):  # some counts are not held by the tasks
-        least = int(vocabulary.counts.min())  # what is not held is not more frequent
         words = scored.dropDuplicates(["key"]).select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-        met = words.join(counts.where(F.col("c") <= least), "word")
+        met = words.join(counts.where(F.col("c") < vocabulary.least), "word")
         rare = met.groupBy("key").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("add"))
         scored = scored.join(rare, "key", "left")
     else:
