@@ -57,7 +57,7 @@ def test_distances(spark):
     v = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0, 6.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([0.0], [2.0])], "a array<double>, b array<double>")
     got = v.select(vectors.l2(F.col("a"), F.col("b")), vectors.cosine(F.col("a"), F.col("b"))).collect()
     assert got[0][0] == pytest.approx(27**0.5) and got[1][1] == 1 and got[2][1] == 1
-    pts = spark.createDataFrame([(1, [2.0, 0, 0]), (2, [0, 1.0, 0]), (3, [0, 0, 3.0])], "id bigint, v array<double>")
+    pts = spark.createDataFrame([(1, [2.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 3.0])], "id bigint, v array<double>")
     assert [r.id for r in vectors.nearest(pts, "v", [0, 0, 0], 3).collect()] == [2, 1, 3]
     with pytest.raises(Exception, match="differ in length"):
         v.select(vectors.l1(F.col("a"), F.array(F.lit(1.0)))).collect()
