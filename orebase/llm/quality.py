@@ -145,7 +145,7 @@ def quality(docs: DataFrame, machine: FactorisationMachine, metadata: tuple[str,
 
     def run(batches):
         for columns in batches:
-            text, *meta = columns
+            text, *meta = columns if isinstance(columns, tuple) else (columns,)
             texts, out = string_column(pa.array(text, pa.large_string(), from_pandas=True)), []
             for buckets, start, stats in _columns(texts, _numbers([pa.array(m, pa.float64(), from_pandas=True) for m in meta], len(texts))):
                 out.append(1 / (1 + np.exp(-np.clip(box.value.margin(buckets, start, stats), -50, 50))))
