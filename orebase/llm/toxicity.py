@@ -29,16 +29,19 @@ def features(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
-    """(rows of docs with their label y, share of each class taken): at most about `most` rows a class, by a hash of the id."""
-    known = only(labels, __id=id_col, y=label).where("__id is not null and y in (0, 1)").groupBy("__id").agg(F.max("y").cast("int").alias("y"))
-    rows = docs.where(usable).join(known, docs[id_col] == F.col("__id"))
-    there = {r.y: r["count"] for r in rows.select("y").groupBy("y").count().collect()}
+    """(rows of docs with their label y, share of each class taken): at most about `most` rows a class, by a hash of the id.
+
+    usable is a condition on the id column, which docs and labels share. The sample of label rows is
+    bounded by `most`, so it is broadcast and texts stay where they are.
+    """
+    known = only(labels.where(usable), __id=id_col, y=label).where("__id is not null and y in (0, 1)").groupBy("__id").agg(F.max("y").cast("int").alias("y"))
+    there = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     share = {y: min(1.0, most / n) for y, n in there.items()}
     cut = F.pmod(F.xxhash64("__id"), F.lit(1 << 20))
     wanted = F.lit(False)
     for y, s in share.items():
         wanted = wanted | ((F.col("y") == y) & (cut < int(s * (1 << 20))))
-    return rows.where(wanted), share
+    return docs.join(F.broadcast(known.where(wanted)), docs[id_col] == F.col("__id")), share
 
 
 class Ftrl:
