@@ -26,7 +26,8 @@ HELD_WORDS = 200_000
 BATCH, NOISE = 8192, 64
 #: Word hashes are 64 bits; no word hashes to this value's place in practice, it stands for the end of a text.
 END = np.uint64(0xE0D0F0E0D0F0E0D1)
-COUNT_STEP = 12 << 20
+#: Text bytes that a task counts, or learns and scores, at a time.
+COUNT_STEP, STEP = 12 << 20, 4 << 20
 
 
 def _occurrences(texts: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +185,7 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
         def stream():
             for batch in batches:
                 column = string_column(batch.column(0))
-                for a, b in steps(column):
+                for a, b in steps(column, STEP):
                     distinct, codes, start = _occurrences(column, a, b)
                     classes = v.find(distinct)[0][codes]
                     one, two = _contexts(classes, start, v.end_class)
@@ -239,7 +240,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         r, q, bias = m.r.astype(np.float32), m.q.astype(np.float32), m.bias
         for batch in batches:
             column, parts = string_column(batch.column(2)), []
-            for a, b in steps(column):
+            for a, b in steps(column, STEP):
                 distinct, codes, start = _occurrences(column, a, b)
                 kind, count = v.find(distinct)
                 classes = kind[codes]

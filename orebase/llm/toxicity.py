@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,10 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "y", "f"])
 
     kind = sample.select("__id").schema[0].dataType.simpleString()
-    rows = sample.select(F.col("__id"), sample[text_col].alias("t"), "y").mapInArrow(run, f"id {kind}, y int, f binary").toPandas()
+    rows = sample.select(F.col("__id"), sample[text_col].alias("t"), "y").mapInArrow(run, f"id {kind}, y int, f binary").toArrow().sort_by("id")
     model = Ftrl()
-    rows = rows.sort_values("id")
-    ys, fs = rows.y.to_numpy(), [np.frombuffer(f, np.int32) for f in rows.f]
+    ys, fs = rows["y"].to_numpy(), [np.frombuffer(f.as_buffer(), np.int32) for f in rows["f"]]
     rng = np.random.default_rng(7)
     for _ in range(epochs if len(share) == 2 else 0):
         for i in rng.permutation(len(rows)):
@@ -115,8 +113,8 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Da
         sparse, values = box.value
         dense = np.zeros((1 << BITS) + 1, np.float32)
         dense[sparse] = values
-        for series in batches:
-            texts, out = string_column(pa.array(series, pa.large_string(), from_pandas=True)), []
+        for column in batches:
+            texts, out = string_column(column), []
             for a, b in steps(texts):
                 words = Words(texts.slice(a, b - a), ALNUM)
                 row, bucket = features(words.hashes(), words.start)
@@ -124,7 +122,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Da
                 once = np.unique(row[some].astype(np.int64) << BITS | bucket[some])
                 sums = np.bincount(once >> BITS, dense[once & (1 << BITS) - 1], b - a)
                 out.append(1 / (1 + np.exp(-(sums + float(dense[-1])))))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    score = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
     return docs.select(*[docs[c] for c in docs.columns], score(docs[text_col]).alias("score"))
