@@ -70,7 +70,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
     """Weights by bucket, the intercept last; most of them are 0.
 
     Fitted on at most about `most` labelled documents a class, taken by a hash of the id; their hashed
-    features, not their texts, come to the driver. Without labelled rows, or with one class only, the weights are the class's prior alone.
+    features, not their texts, come to the driver. The intercept is moved back by the log of the classes' shares taken, so
+    the prior is that of all labelled rows at every size. Without labelled rows, or with one class only, the weights are the class's prior alone.
     """
     sample, share = labelled_sample(docs, labels, label, usable, most, id_col)
 
@@ -97,6 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
     w = model.weights()
     if len(share) < 2:
         w[-1] = {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(share)]
+    else:
+        w[-1] += np.log(share[0] / share[1])  # odds in the sample are share[1] / share[0] times too high
     return w.astype(np.float32)
 
 

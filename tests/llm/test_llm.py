@@ -139,6 +139,14 @@ def test_models_learn_and_ignore_held_out(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 4 != 0) for i in range(240, 300)]) > 0.95
 
 
+def test_toxicity_keeps_the_prior_of_all_labels(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "'' as text")
+    labels = spark.range(2000).selectExpr("id as doc_id", "int(id % 10 = 0) as toxic")
+    for most in (10_000, 200):  # all labels; about 200 of each class
+        w = toxicity.train(docs, labels, "toxic", F.lit(True), most=most)
+        assert toxicity.toxicity(docs.limit(1), w).first().score == pytest.approx(0.1, abs=0.05)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(30, 40))
