@@ -46,16 +46,19 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
 def _linked(parts: DataFrame, reach: int) -> DataFrame:
     """(key, weak): weak spans of rows (key, role, start, kind, end) that stand with their complements.
 
-    A scope is an identifier's interval widened by `reach` on both sides. It counts if a secret
-    overlaps it; then its identifier, secrets and endpoints are reported. Intervals meet through
-    equal (key, cell) of `reach` code points, so no task compares more than what lies in a few cells.
+    A scope is the interval of an identifier or endpoint widened by `reach` on both sides. It counts
+    if a secret overlaps it; then its anchor and secrets are reported, and an identifier's endpoints.
+    A secret that shares code points with an endpoint is part of the address and does not stand next to it.
+    Intervals meet through equal (key, cell) of `reach` code points, so no task compares more than what lies in a few cells.
     """
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
     low, high = F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach
-    scopes = parts.where("role = 'identifier'").select("key", F.struct("start", "kind", "end").alias("anchor"), low.alias("low"), high.alias("high"))
+    scopes = parts.where("role <> 'secret'").select("key", F.col("role").alias("of"), F.struct("start", "kind", "end").alias("anchor"), low.alias("low"), high.alias("high"))
     scopes = scopes.withColumn("cell", cells(F.col("low"), F.col("high")))
     others = parts.where("role <> 'identifier'").select("key", "role", F.struct("start", "kind", "end").alias("part"), "start", "end", cells(F.col("start"), F.col("end")).alias("cell"))
-    met = scopes.join(others, ["key", "cell"]).where("start < high and end > low").select("key", "anchor", "role", "part").distinct()
+    met = scopes.join(others, ["key", "cell"]).where("start < high and end > low")
+    beside = (F.col("role") == "secret") & ((F.col("start") >= F.col("anchor.end")) | (F.col("end") <= F.col("anchor.start")))
+    met = met.where((F.col("of") == "identifier") | beside).select("key", "anchor", "role", "part").distinct()
     whole = met.where("role = 'secret'").select("key", "anchor").distinct()
     told = met.join(whole, ["key", "anchor"], "left_semi").select("key", F.col("part").alias("s")).union(whole.select("key", F.col("anchor").alias("s")))
     return told.where("s.kind >= 3").groupBy("key").agg(F.collect_set("s").alias("weak"))
@@ -66,8 +69,8 @@ def secret_spans(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", text
 
     kind counts in KINDS. base: assignments of at least 8 characters, access ids and long hex
     runs, wherever they stand. weak: identifiers, 40-character keys and endpoints, only where an
-    identifier (or access id) and a secret (an assignment or key) lie within `reach` code points; spans of
-    different kinds may overlap. A null or empty text has none. Repeated rows each get their
+    identifier (or access id) or an endpoint and a secret (an assignment, key or long hex run) lie within `reach`
+    code points, the secret not inside that endpoint; spans of different kinds may overlap. A null or empty text has none. Repeated rows each get their
     result, rows with a null id too; other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -77,13 +80,13 @@ def secret_spans(docs: DataFrame, reach: int = 300, id_col: str = "doc_id", text
         *[_spans(text, p, i, ASSIGN_LEAST if p is ASSIGN else 0).alias(KINDS[i]) for i, p in enumerate((ASSIGN, ACCESS, HEX, IDENTIFIER, KEY, ENDPOINT))],
     )
     found = materialise(found, "spans")
-    roles = {"access": "identifier", "identifier": "identifier", "assign": "secret", "long_key": "secret", "endpoint": "endpoint"}
+    roles = {"access": "identifier", "identifier": "identifier", "assign": "secret", "long_key": "secret", "hex": "secret", "endpoint": "endpoint"}
 
     def with_role(spans: str, role: str) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(role).alias("role"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
     parts = F.flatten(F.array(*[with_role(k, r) for k, r in roles.items()]))
-    some = found.where((F.size("access") + F.size("identifier") > 0) & (F.size("assign") + F.size("long_key") > 0))
+    some = found.where((F.size("access") + F.size("identifier") + F.size("endpoint") > 0) & (F.size("assign") + F.size("long_key") + F.size("hex") > 0))
     weak = _linked(some.select("key", F.explode(F.array_distinct(parts)).alias("p")).select("key", "p.*").distinct(), reach)
     out = found.join(weak, "key", "left")
     empty = F.array().cast(SPANS)

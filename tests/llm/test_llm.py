@@ -174,6 +174,17 @@ def test_secrets(spark):
     assert got[3][1] == "identifier:0:15,endpoint:34:53"
 
 
+def test_secrets_of_hex_and_endpoints(spark):
+    hex32, far = "0123456789abcdef" * 2, "- " * 200
+    rows = [(1, f"client_id=abcd https://host/x {hex32}"), (2, f"https://host/x {hex32}"), (3, f"https://host/{hex32}"), (4, f"https://host/x {far}{hex32}")]
+    rows += [(5, "secret=abcdefgh1 https://host/x"), (6, f"https://host/{'aB3' * 15}"), (7, f"login=someone {far[:200]}https://host/x {far[:250]}{hex32}")]
+    got = {r.doc_id: r.w for r in secret_spans(table(spark, rows)).select("doc_id", span_text(F.col("weak")).alias("w")).collect()}
+    assert got[1] == "identifier:0:14,endpoint:15:29"
+    assert got[2] == "endpoint:0:14" and got[5] == "endpoint:17:31"  # no identifier
+    assert got[3] == got[4] == got[6] == ""  # part of the address, out of reach
+    assert got[7] == "endpoint:214:228"  # the identifier is out of the secret's reach
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(rng.choice(["a b", "c d"], 30))) for i in range(60)] + [(60, None), (61, "New words A")]
