@@ -1,11 +1,12 @@
 """Text scores: a smoothed unigram baseline from all training documents and a log-bilinear neural model.
 
-The model knows the most frequent words and one class for all others. The two tokens before a
-word predict its vector: each place has a weight per dimension, and the score of a word is the
-product of prediction and word vector plus a bias. It is trained by noise-contrastive
-estimation; for scoring, the sum over all classes is worked out once for every context of two
-classes by batched matrix products, so each token's probability is normalised exactly. A word
-of the rest class gets the class's probability times its smoothed share of it.
+Every word whose count the tasks hold is a class of its own, all others share one. The two tokens
+before a word predict its vector: each place has a weight per dimension. The classes are the leaves
+of a Huffman tree; every inner node has a vector and a bias, and the product of prediction and
+vector gives the odds of its two sides. So probabilities are exactly normalised without a sum over
+classes, and the parameters grow with the vocabulary: a context vector a class, a vector and a bias
+an inner node. Before training, each class has its unigram probability. A word of the rest class gets
+the class's probability times its smoothed share of it.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, materialise, only, steps, string_column, word_hashes
 
-CLASSES, DIMS = 1024, 16
-#: Most frequent words whose counts every task holds, at most: 3 MB. The others meet their counts in a join.
-HELD_WORDS = 200_000
-BATCH, NOISE = 8192, 64
+DIMS = 16
+#: Most frequent words that every task holds with counts and vectors, at most: 60 MB. The others meet their counts in a join.
+HELD_WORDS = 1 << 18
+BATCH = 4096
+#: Averaged rounds, each over its own share of the texts, and the tokens that one task learns from in a round.
+ROUNDS, TASK_TOKENS = 3, 1 << 20
+#: Parameter rows that tasks send together.
+BLOCK = 256
 #: Word hashes are 64 bits; no word hashes to this value's place in practice, it stands for the end of a text.
 END = np.uint64(0xE0D0F0E0D0F0E0D1)
 #: Text bytes that a task counts, or learns and scores, at a time.
@@ -74,24 +79,23 @@ class Vocabulary:
         least = int(fits.least.min()) if len(fits) else 1 << 62
         top = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])  # bounded above
         words, c = top.word.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
-        known = np.zeros(len(words), bool)
-        known[: CLASSES - 2] = True
-        known[words == END] = True
-        classes = np.where(known, np.cumsum(known) - 1, CLASSES - 1).astype(np.int32)
         total, size = int(whole.n or 0), int(whole.v or 0)
-        unigram = np.bincount(classes, c, CLASSES)
-        rest = total - int(c[known].sum())
-        unigram[CLASSES - 1] = rest + 1
+        rest = total - int(c.sum())
         order = np.argsort(words)
-        return cls(words[order], c[order], classes[order], total, size, (unigram + 0.5) / (unigram + 0.5).sum(), rest, size - int(known.sum()), least)
+        return cls(words[order], c[order], np.arange(len(words), dtype=np.int32)[order], total, size, np.append(c, rest + 1) + 0.5, rest, size - len(words), least)
 
     def find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of word hashes; the count is -1 where the task doesn't hold it."""
         if not len(self.words):
-            return np.full(len(distinct), CLASSES - 1, np.int32), np.full(len(distinct), -1)
+            return np.full(len(distinct), self.rest, np.int32), np.full(len(distinct), -1)
         at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
         held = self.words[at] == distinct
-        return np.where(held, self.classes[at], CLASSES - 1), np.where(held, self.counts[at], -1)
+        return np.where(held, self.classes[at], self.rest), np.where(held, self.counts[at], -1)
+
+    @property
+    def rest(self) -> int:
+        """The class of all words that the tasks don't hold."""
+        return len(self.words)
 
     @property
     def end_class(self) -> int:
@@ -108,113 +112,171 @@ def _contexts(classes: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndar
     return one, two
 
 
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, path, odds): path[start[i]:start[i + 1]] are leaf i's inner nodes as 2 * node + side; odds: log of side 1 to side 0."""
+    n = len(weights)
+    order = np.argsort(weights, kind="stable")
+    queues = [list(zip(weights[order].tolist(), order.tolist())), []]
+    at, parent, side, odds = [0, 0], np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64), np.zeros(n - 1)
+    for node in range(n - 1):
+        two = []
+        for _ in range(2):
+            heads = [q[a][0] if a < len(q) else np.inf for q, a in zip(queues, at)]
+            k = int(heads[1] < heads[0])
+            two.append(queues[k][at[k]])
+            at[k] += 1
+        for b, (_, child) in enumerate(two):
+            parent[child], side[child] = node, b
+        odds[node] = np.log(two[1][0] / two[0][0])
+        queues[1].append((two[0][0] + two[1][0], n + node))
+    leaf, now, leaves, codes = np.arange(n if n > 1 else 0), np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(leaf):
+        up = parent[now[leaf]]
+        leaves.append(leaf)
+        codes.append(2 * up + side[now[leaf]])
+        now[leaf] = n + up
+        leaf = leaf[up < n - 2]
+    leaves = np.concatenate(leaves)
+    path = np.concatenate(codes)[np.argsort(leaves, kind="stable")].astype(np.int32)
+    return np.concatenate([[0], np.cumsum(np.bincount(leaves, minlength=n))]), path, odds
+
+
 class LogBilinear:
-    """Context vectors, word vectors, a weight per place and dimension, and a bias per word."""
+    """One matrix of parameters: a context vector per class, a vector and last a bias per inner node, the weights of both places."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.3, (CLASSES, DIMS))
-        self.q = rng.normal(0, 0.05, (CLASSES, DIMS))
-        self.place = np.ones((2, DIMS))
-        self.bias = np.log(unigram)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.place, self.bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for p in self.parts():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
-
-    def train(self, stream, unigram: np.ndarray, rate: float = 0.1, seed: int = 1) -> int:
-        """One pass of noise-contrastive estimation with Adagrad over (word, one, two) batches; tokens seen."""
-        rng, seen = np.random.default_rng(seed), 0
-        log_noise = np.log(NOISE * unigram)
-        cumulative = np.cumsum(unigram)
-        squares = [np.full(p.shape, 1e-2) for p in self.parts()]
-        for word, one, two in stream:
-            n = len(word)
-            seen += n
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
-            r1, r2, q = self.r[one], self.r[two], self.q[word]
-            h = r1 * self.place[0] + r2 * self.place[1]
-            good = 1 / (1 + np.exp(-((h * q).sum(1) + self.bias[word] - log_noise[word]))) - 1
-            bad = 1 / (1 + np.exp(-(h @ self.q[noise].T + self.bias[noise] - log_noise[noise])))
-            d_h = good[:, None] * q + bad @ self.q[noise]
-            d_q, d_r = np.zeros_like(self.q), np.zeros_like(self.r)
-            g_q, g_one, g_two = good[:, None] * h, d_h * self.place[0], d_h * self.place[1]
-            for f in range(DIMS):
-                d_q[:, f] = np.bincount(word, g_q[:, f], CLASSES)
-                d_r[:, f] = np.bincount(one, g_one[:, f], CLASSES) + np.bincount(two, g_two[:, f], CLASSES)
-            np.add.at(d_q, noise, bad.T @ h)
-            d_bias = np.bincount(word, good, CLASSES)
-            np.add.at(d_bias, noise, bad.sum(0))
-            for p, d, s in zip(self.parts(), [d_r, d_q, np.stack([(d_h * r1).sum(0), (d_h * r2).sum(0)]), d_bias], squares):
-                d = d / np.sqrt(n)
-                s += d * d
-                p -= rate * d / np.sqrt(s)
-        return seen
-
-    def log_sums(self, rows: np.ndarray) -> np.ndarray:
-        """log of the sum over all classes for the contexts (row, any class)."""
-        q, bias = self.q.T.astype(np.float32), self.bias.astype(np.float32)
-        out = np.empty((len(rows), CLASSES), np.float32)
-        for i, row in enumerate(rows):
-            scores = (self.r[row] * self.place[0] + self.r * self.place[1]).astype(np.float32) @ q + bias
-            top = scores.max(1, keepdims=True)
-            out[i] = (top + np.log(np.exp(scores - top).sum(1, keepdims=True))).ravel()
+        self.n = len(unigram)
+        self.start, self.path, odds = huffman(unigram)
+        self.w = np.zeros((2 * self.n + 1, DIMS + 1), np.float32)
+        self.w[: self.n, :DIMS] = np.random.default_rng(seed).normal(0, 0.3, (self.n, DIMS))
+        self.w[self.n : -2, DIMS] = odds
+        self.w[-2:, :DIMS] = 1
+
+    def _walk(self, word: np.ndarray, h: np.ndarray):
+        """(first, prediction, node, side, vector, margin) of the path steps of all words, those of a word together."""
+        size = self.start[word + 1] - self.start[word]
+        ends = np.cumsum(size)
+        first, token = ends - size, np.repeat(np.arange(len(word)), size)
+        code = self.path[np.repeat(self.start[word] - first, size) + np.arange(len(token))]
+        node, side = self.n + (code >> 1), code & 1
+        v, h = self.w.take(node, 0), h.take(token, 0)
+        return first, h, node, side, v, np.einsum("ij,ij->i", v, h)
+
+    def _predicted(self, one: np.ndarray, two: np.ndarray):
+        """(context vectors of both places, prediction); the prediction ends in 1, which meets the biases."""
+        r1, r2 = self.w.take(one, 0), self.w.take(two, 0)
+        h = r1 * self.w[-2] + r2 * self.w[-1]
+        h[:, DIMS] = 1
+        return r1, r2, h
+
+    def logs(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The natural log of each class's probability after its context."""
+        out = np.zeros(len(word))
+        for s in range(0, len(word) if self.n > 1 else 0, BATCH):
+            at = slice(s, s + BATCH)
+            first, _, _, side, _, z = self._walk(word[at], self._predicted(one[at], two[at])[2])
+            out[at] = np.add.reduceat(-np.log(1 + np.exp(np.clip(z * (1 - 2 * side).astype(np.float32), -60, 60))), first, dtype=np.float64)
         return out
 
+    def train(self, stream, rate: float) -> np.ndarray:
+        """One pass of Adagrad on the log probability over (word, one, two) batches; how often each row was met."""
+        squares, met = np.ones(len(self.w), np.float32), np.zeros(len(self.w), np.float32)
+        place, slot, there = np.arange(len(self.w) - 2, len(self.w)), np.zeros(len(self.w), np.int64), np.zeros(len(self.w), bool)
+
+        def step(rows: np.ndarray, gradients: np.ndarray) -> None:
+            there[rows] = True
+            own = np.flatnonzero(there)
+            there[own] = False
+            slot[own] = np.arange(len(own))
+            at, width = slot[rows], gradients.shape[1]
+            cells = (at[:, None] * width + np.arange(width)).ravel()
+            d = np.bincount(cells, gradients.ravel(), len(own) * width).reshape(-1, width).astype(np.float32)
+            squares[own] += (d * d).mean(1)
+            self.w[own, : d.shape[1]] -= rate * d / np.sqrt(squares[own])[:, None]
+            met[own] += np.bincount(at, minlength=len(own))
+
+        for word, one, two in stream:
+            r1, r2, h = self._predicted(one, two)
+            first, h, node, side, v, z = self._walk(word, h)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - side).astype(np.float32)
+            d_h = np.add.reduceat(g[:, None] * v, first)
+            d_h[:, DIMS] = 0
+            weights = self.w[-2:].copy()
+            step(node, g[:, None] * h)
+            step(np.concatenate([one, two]), np.concatenate([d_h * weights[0], d_h * weights[1]]))
+            step(place, np.stack([(d_h * r1).sum(0), (d_h * r2).sum(0)]))
+        return met
+
+
+def _blocks(rows: np.ndarray, met: np.ndarray, moved: np.ndarray):
+    """(block, places, met, moved) as bytes of rows in order."""
+    ends = np.flatnonzero(np.diff(rows // BLOCK, append=-1)) + 1
+    for a, b in zip([0, *ends[:-1]], ends):
+        yield int(rows[a] // BLOCK), (rows[a:b] % BLOCK).astype(np.uint8).tobytes(), met[a:b].tobytes(), moved[a:b].astype(np.float16).tobytes()
+
+
+def _averaged(batches):
+    """Each row's mean way over the tasks that met it, by how often they did."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, places, met, moved in zip(*[c.to_pylist() for c in batch.columns]):
+            one = sums.setdefault(block, np.zeros((BLOCK, DIMS + 2)))
+            at, n = np.frombuffer(places, np.uint8), np.frombuffer(met, np.float32)
+            one[at, : DIMS + 1] += np.frombuffer(moved, np.float16).reshape(len(at), -1) * n[:, None].astype(float)
+            one[at, DIMS + 1] += n
+    for block, one in sums.items():
+        mean = (one[:, : DIMS + 1] / np.maximum(one[:, DIMS + 1 :], 1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["block", "mean"])
+
 
 def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Every task trains on its own texts from the same start; the parameters' means by tokens seen are the model.
+    """Trained in rounds on texts (key, text), each text in one round.
 
-    Sums per parameter, combined before the shuffle, are what comes to the driver.
+    In a round every task trains on about TASK_TOKENS tokens, dealt by key, from the same start; what the
+    next round starts from are the rows' means over the tasks that met them. So the model depends on
+    neither files nor splits. The means, combined in tasks, are what comes to the driver: bounded by HELD_WORDS.
     """
-    box = texts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        v = box.value
-        model = LogBilinear(v.unigram)
-
-        def stream():
-            for batch in batches:
-                column = string_column(batch.column(0))
-                for a, b in steps(column, STEP):
-                    distinct, codes, start = _occurrences(column, a, b)
-                    classes = v.find(distinct)[0][codes]
-                    one, two = _contexts(classes, start, v.end_class)
-                    order = np.random.default_rng(len(codes)).permutation(len(codes))
-                    for s in range(0, len(codes), BATCH):
-                        at = order[s : s + BATCH]
-                        yield classes[at], one[at], two[at]
-
-        seen = model.train(stream(), v.unigram)
-        if seen:
-            flat = model.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "x", "n"])
-
-    sums = texts.mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("i")
     model = LogBilinear(vocabulary.unigram)
-    return model.load(sums.x.to_numpy()) if len(sums) else model
-
-
-def normalisers(docs: DataFrame, model: LogBilinear) -> np.ndarray:
-    """(CLASSES, CLASSES) of log sums by class one and two tokens before; worked out in tasks, 4 MB in all."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(box.value.log_sums(rows)), pa.list_(pa.float32()))], ["id", "z"])
-
-    rows = docs.sparkSession.range(0, CLASSES, 1, 16).mapInArrow(run, "id bigint, z array<float>").toPandas().sort_values("id")
-    return np.stack(rows.z.to_list()).astype(np.float32)
+    if model.n == 1 or not vocabulary.total:
+        return model
+    context = texts.sparkSession.sparkContext
+    words = context.broadcast(vocabulary)
+    parts = -(-vocabulary.total // (ROUNDS * TASK_TOKENS))
+    for turn in range(ROUNDS):
+        box = context.broadcast(model)
+
+        def run(batches, box=box, rate=0.1 / (1 + turn)):
+            v, m = words.value, box.value
+            before = m.w
+            m.w = before.copy()
+
+            def stream():
+                for batch in batches:
+                    column = string_column(batch.column(0))
+                    for a, b in steps(column, STEP):
+                        distinct, codes, start = _occurrences(column, a, b)
+                        classes = v.find(distinct)[0][codes]
+                        one, two = _contexts(classes, start, v.end_class)
+                        order = np.random.default_rng(len(codes)).permutation(len(codes))
+                        for s in range(0, len(codes), BATCH):
+                            at = order[s : s + BATCH]
+                            yield classes[at], one[at], two[at]
+
+            met = m.train(stream(), rate)
+            rows = np.flatnonzero(met)
+            moved, m.w = m.w[rows] - before[rows], before  # the worker may run further tasks
+            if len(rows):
+                block, places, n, d = zip(*_blocks(rows, met[rows], moved))
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *[pa.array(x, pa.binary()) for x in (places, n, d)]], ["block", "places", "met", "moved"])
+
+        own = texts.where(F.pmod("key", F.lit(ROUNDS)) == turn).repartition(parts, "key").sortWithinPartitions("key").select("text")
+        moved = own.mapInArrow(run, "block int, places binary, met binary, moved binary")
+        means = moved.repartition("block").mapInArrow(_averaged, "block int, mean binary").toArrow()
+        for block, mean in zip(means["block"].to_pylist(), means["mean"]):
+            at = slice(block * BLOCK, (block + 1) * BLOCK)
+            model.w[at] += np.frombuffer(mean.as_buffer(), np.float32).reshape(BLOCK, -1)[: len(model.w[at])]
+        box.unpersist()
+    return model
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,32 +289,27 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     empty result, and without training rows N, V and every c are 0.
     """
     base = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    learn = base.where("training").select("text")
-    counts = materialise(word_counts(learn), "word_counts")
+    learn = base.where("training").select("key", "text")
+    counts = materialise(word_counts(learn.select("text")), "word_counts")
     vocabulary = Vocabulary.of(counts)
     model = train_model(learn, vocabulary)
     spark = docs.sparkSession
-    box = spark.sparkContext.broadcast((vocabulary, model, normalisers(docs, model)))
+    box = spark.sparkContext.broadcast((vocabulary, model))
     ln10 = float(np.log(10))
 
     def run(batches):
-        v, m, z = box.value
-        r, q, bias = m.r.astype(np.float32), m.q.astype(np.float32), m.bias
+        v, m = box.value
         for batch in batches:
             column, parts = string_column(batch.column(2)), []
             for a, b in steps(column, STEP):
                 distinct, codes, start = _occurrences(column, a, b)
                 kind, count = v.find(distinct)
                 classes = kind[codes]
-                one, two = _contexts(classes, start, v.end_class)
-                logs = np.empty(len(codes))
-                for s in range(0, len(codes), 1 << 16):
-                    w, c1, c2 = classes[s : s + (1 << 16)], one[s : s + (1 << 16)], two[s : s + (1 << 16)]
-                    logs[s : s + (1 << 16)] = ((r[c1] * m.place[0].astype(np.float32) + r[c2] * m.place[1].astype(np.float32)) * q[w]).sum(1) + bias[w] - z[c1, c2]
+                logs = m.logs(classes, *_contexts(classes, start, v.end_class))
                 row = np.repeat(np.arange(b - a), np.diff(start))
                 held = count >= 0
                 own = np.where(held, np.log10(np.maximum(count, 0) + 1.0), 0.0)  # log10(c + 1)
-                inner = np.where(kind == CLASSES - 1, own - np.log10(v.rest_total + v.rest_size + 1.0), 0.0)
+                inner = np.where(kind == v.rest, own - np.log10(v.rest_total + v.rest_size + 1.0), 0.0)
                 free = np.flatnonzero(~held[codes])
                 ends = np.searchsorted(row[free], np.arange(b - a + 1))
                 rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(distinct[codes[free]].view(np.int64)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orebase.llm import quality, toxicity
 from orebase.llm.decontaminate import contamination
 from orebase.llm.embeddings import near_vectors
-from orebase.llm.language_model import score_texts
+from orebase.llm.language_model import Vocabulary, score_texts, train_model, word_counts
 from orebase.llm.line_dedup import dedup_lines
 from orebase.llm.minhash import near_duplicates
 from orebase.llm.packing import packed_documents
@@ -201,5 +201,21 @@ def test_language_model(spark):
     assert all(np.isfinite(r.score) for r in got.values())
 
 
+def test_language_model_has_a_class_for_every_word(spark):
+    rng = np.random.default_rng(9)
+    pairs = [f"a{i} b{i}" for i in range(1500)]  # all words equally rare
+    docs = [" ".join(rng.permutation(pairs)) for _ in range(12)]
+    keyed = table(spark, list(enumerate(docs)), False).select(F.col("doc_id").alias("key"), "text")
+    v = Vocabulary.of(word_counts(keyed.select("text")))
+    assert len(v.words) == 3001 and len(set(v.classes)) == 3001
+    models = [train_model(keyed.repartition(n), v) for n in (1, 5)]
+    assert (models[0].w == models[1].w).all()  # whatever the splits are
+    whole = np.arange(3002)
+    for context in (0, 1700, 3001):
+        at = np.full(3002, context)
+        assert np.exp(models[0].logs(whole, at, at[::-1])).sum() == pytest.approx(1, abs=1e-4)
+    assert len(np.unique(models[0].w[:3001], axis=0)) == 3001
+
+
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
