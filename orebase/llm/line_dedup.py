@@ -66,9 +66,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
 
     A text is split at line feeds; a line's key is the line without ASCII white space at both
     ends, A-Z lower-cased. Lines whose key has at least min_chars code points and occurs in at
-    least min_docs rows are dropped, except in the row (or rows) with the largest id that holds
+    least min_docs documents are dropped, except in the row (or rows) with the largest id that holds
     them. A null or empty text is one empty line and stays an empty text. Rows that repeat an id
-    count each for itself. Rows with a null id neither count nor lose lines. Extra columns pass through
+    count as one document. Rows with a null id neither count nor lose lines. Extra columns pass through
     unchanged; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     long_keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
     posts = base.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.array_distinct(F.transform(long_keys, key_hash))).alias("h"))
-    posts = materialise(posts.select("doc_id", "h.h1", "h.h2"), "line_posts")
+    posts = materialise(posts.select("doc_id", "h.h1", "h.h2").distinct(), "line_posts")
     cuts = posts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first().q or [] if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
     runs = LineRuns(spark, fanout)

@@ -81,6 +81,14 @@ def test_line_dedup(spark):
     assert dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "a line that is certainly longer than forty characters"
+    got = dedup_lines(table(spark, [(9, line)] * 4 + [(3, line)])).collect()
+    assert [r.n_dropped for r in got] == [0] * 5
+    got = dedup_lines(table(spark, [(9, line)] * 4 + [(i, line) for i in range(4)])).collect()
+    assert {(r.doc_id, r.n_dropped) for r in got} == {(0, 1), (1, 1), (2, 1), (3, 1), (9, 0)}
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(2)
     item = " ".join(rng.choice(WORDS, 15))
