@@ -20,18 +20,31 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one with a
+    local master, which has only one machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.gettempdir() + "/orebase-checkpoints"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir() + "/orebase-intermediate"
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared folder, in folders by some columns, and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote for these tables, which nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -39,6 +52,22 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+class Carried:
+    """A table under names of our own, so that no column of it can clash with ours; `back` gives its columns their names again.
+
+    results: the names that the operator adds. An input column of such a name is replaced by the result.
+    """
+
+    def __init__(self, df: DataFrame, *results: str):
+        taken = {r.lower() for r in results}
+        self.names = {name: f"in{i}" for i, name in enumerate(df.columns)}
+        self.rows = df.toDF(*self.names.values())
+        self.back = [F.col(own).alias(name) for name, own in self.names.items() if name.lower() not in taken]
+
+    def col(self, name: str) -> Column:
+        return F.col(self.names[name])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -53,6 +82,19 @@ def narrow_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def with_partners(pairs: DataFrame, heads: DataFrame, tails: DataFrame, per: int = 256) -> DataFrame:
+    """Rows (a, b, text) of pairs (a, b): a head (b null) with the text of a, then up to `per` rows with the texts of its partners b.
+
+    heads: (a, text), tails: (b, text), one row each; both ends of a pair are bigint. So a text with many
+    partners is sent once for every `per` of them, and no task gets more than such a share of them at once.
+    """
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / per).alias("shares"))
+    pairs = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
+    first = pairs.select("a", "share").distinct().join(heads, "a").select("a", "share", F.lit(None).cast("bigint").alias("b"), "text")
+    rows = first.union(pairs.join(tails, "b").select("a", "share", "b", "text"))
+    return rows.repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b")).select("a", "b", "text")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, vectorised; uint64 in, uint64 out."""
     x = x ^ (x >> np.uint64(30))

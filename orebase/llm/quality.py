@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix64, steps, string_column
+from .common import ALNUM, Carried, Words, mix64, steps, string_column
 from .toxicity import labelled_sample
 
 BITS, RANK = 15, 8
@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, metada
 
     metadata: numeric columns of docs, null as 0. Without labelled rows of both classes the machine gives the prior alone.
     """
-    sample, share = labelled_sample(docs, labels, label, usable, most, id_col)
+    columns = {f"m{i}": m for i, m in enumerate(metadata)}
+    sample, share = labelled_sample(docs, labels, label, usable, most, id_col, t=text_col, **columns)
     machine = FactorisationMachine(len(STATISTICS) + len(metadata))
     if len(share) < 2:
         machine.v[:], machine.w0 = 0, {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(share)]
@@ -127,9 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, metada
             f, s = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f, pa.binary()), pa.array(s, pa.binary())], ["id", "y", "f", "s"])
 
-    kind = sample.select("__id").schema[0].dataType.simpleString()
-    rows = sample.select("__id", sample[text_col].alias("t"), "y", *[sample[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)])
-    rows = rows.mapInArrow(run, f"id {kind}, y int, f binary, s binary").toPandas().sort_values("id")
+    kind = sample.select("id").schema[0].dataType.simpleString()
+    rows = sample.select("id", "t", "y", *[F.col(m).cast("double").alias(m) for m in columns])
+    rows = rows.mapInArrow(run, f"id {kind}, y int, f binary, s binary").toPandas().sort_values(["id", "f"])
     small = min(share.values())
     machine.fit([(np.frombuffer(f, np.int32), np.frombuffer(s)) for f, s in zip(rows.f, rows.s)], rows.y.to_numpy(), {y: small / s for y, s in share.items()}, epochs)
     return machine
@@ -139,7 +140,7 @@ def quality(docs: DataFrame, machine: FactorisationMachine, metadata: tuple[str,
     """The rows of docs with score, the machine's probability of label 1 for the whole text.
 
     A null or empty text has statistics of zero and no words; null metadata count as 0. Repeated rows get equal
-    scores; extra columns pass through; an empty table gives an empty result.
+    scores; extra columns pass through, but for one named score, which is replaced; an empty table gives an empty result.
     """
     box = docs.sparkSession.sparkContext.broadcast(machine)  # 2 ** BITS rows of RANK + 1 numbers
 
@@ -152,4 +153,5 @@ def quality(docs: DataFrame, machine: FactorisationMachine, metadata: tuple[str,
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.select(*[docs[c] for c in docs.columns], score(F.coalesce(docs[text_col], F.lit("")), *[docs[m].cast("double") for m in metadata]).alias("score"))
+    held = Carried(docs, "score")
+    return held.rows.select(*held.back, score(F.coalesce(held.col(text_col), F.lit("")), *[held.col(m).cast("double") for m in metadata]).alias("score"))

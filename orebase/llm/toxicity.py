@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix64, only, steps, string_column
+from .common import ALNUM, Carried, Words, mix64, only, steps, string_column
 
 #: Feature space; the weights of one model are a broadcast of 4 bytes each.
 BITS = 20
@@ -27,26 +27,26 @@ def features(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), (np.concatenate(buckets) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
-    """(rows of docs with their label y, share of each class taken): at most about `most` rows a class, by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str, **columns: str) -> tuple[DataFrame, dict[int, float]]:
+    """(rows id, y and the named columns of docs, share of each class taken): at most about `most` rows a class, by a hash of the id.
 
-    usable is a condition on the id column, which docs and labels share. The sample of label rows is
+    usable is a condition on the labels' id column, named as in docs. The sample of label rows is
     bounded by `most`, so it is broadcast and texts stay where they are.
     """
-    known = only(labels.where(usable), __id=id_col, y=label).where("__id is not null and y in (0, 1)").groupBy("__id").agg(F.max("y").cast("int").alias("y"))
+    known = only(labels.where(usable), id=id_col, y=label).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").cast("int").alias("y"))
     there = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     share = {y: min(1.0, most / n) for y, n in there.items()}
-    cut = F.pmod(F.xxhash64("__id"), F.lit(1 << 20))
+    cut = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     wanted = F.lit(False)
     for y, s in share.items():
         wanted = wanted | ((F.col("y") == y) & (cut < int(s * (1 << 20))))
-    return docs.join(F.broadcast(known.where(wanted)), docs[id_col] == F.col("__id")), share
+    return only(docs, id=id_col, **columns).join(F.broadcast(known.where(wanted)), "id"), share
 
 
 class Ftrl:
     """Per-coordinate FTRL-proximal for a logistic loss."""
 
-    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
@@ -65,15 +65,33 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
+    def fit(self, rows: list[np.ndarray], ys: np.ndarray, use: np.ndarray, epochs: int) -> np.ndarray:
+        rng = np.random.default_rng(7)
+        for _ in range(epochs):
+            for i in rng.permutation(use):
+                self.learn(rows[i], ys[i])
+        return self.weights()
 
-def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs: int = 5, most: int = MOST_PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+
+def best_cut(margins: np.ndarray, ys: np.ndarray, weight: np.ndarray, recall_weight: float) -> float:
+    """The margin from which on label 1 is told so that the F measure, recall counted recall_weight times, is highest."""
+    order = np.argsort(-margins, kind="stable")
+    hit, told = np.cumsum((ys * weight)[order]), np.cumsum(weight[order])
+    b = recall_weight**2
+    at = int(((1 + b) * hit / (b * hit[-1] + told)).argmax())
+    return float(margins[order[at : at + 2]].mean())
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs: int = 5, most: int = MOST_PER_LABEL, recall_weight: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights by bucket, the intercept last; most of them are 0.
 
     Fitted on at most about `most` labelled documents a class, taken by a hash of the id; their hashed
     features, not their texts, come to the driver. The intercept is moved back by the log of the classes' shares taken, so
-    the prior is that of all labelled rows at every size. Without labelled rows, or with one class only, the weights are the class's prior alone.
+    the prior is that of all labelled rows at every size. With recall_weight the intercept is moved on so that a
+    score of 0.5 stands where the F measure of that weight is highest, as found on training rows alone: each third is
+    judged by a model of the others. Without labelled rows, or with one class only, the weights are the class's prior alone.
     """
-    sample, share = labelled_sample(docs, labels, label, usable, most, id_col)
+    sample, share = labelled_sample(docs, labels, label, usable, most, id_col, t=text_col)
 
     def run(batches):
         for batch in batches:
@@ -87,19 +105,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
                 out += [np.unique(bucket[x:y]).tobytes() for x, y in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "y", "f"])
 
-    kind = sample.select("__id").schema[0].dataType.simpleString()
-    rows = sample.select(F.col("__id"), sample[text_col].alias("t"), "y").mapInArrow(run, f"id {kind}, y int, f binary").toArrow().sort_by("id")
-    model = Ftrl()
+    kind = sample.select("id").schema[0].dataType.simpleString()
+    rows = sample.select("id", "t", "y").mapInArrow(run, f"id {kind}, y int, f binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
     ys, fs = rows["y"].to_numpy(), [np.frombuffer(f.as_buffer(), np.int32) for f in rows["f"]]
-    rng = np.random.default_rng(7)
-    for _ in range(epochs if len(share) == 2 else 0):
-        for i in rng.permutation(len(rows)):
-            model.learn(fs[i], ys[i])
-    w = model.weights()
-    if len(share) < 2:
-        w[-1] = {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(share)]
-    else:
-        w[-1] += np.log(share[0] / share[1])  # odds in the sample are share[1] / share[0] times too high
+    if len(share) < 2 or not 0 < ys.sum() < len(ys):
+        w = np.zeros((1 << BITS) + 1)
+        w[-1] = {(): 0.0, (0,): -4.0, (1,): 4.0}.get(tuple(share), 0.0)
+        return w.astype(np.float32)
+    w = Ftrl().fit(fs, ys, np.arange(len(ys)), epochs)
+    moved = np.log(share[0] / share[1])  # odds in the sample are share[1] / share[0] times too high
+    if recall_weight is not None:
+        third, margins = np.arange(len(ys)) % 3, np.zeros(len(ys))
+        for t in range(3):
+            v = Ftrl().fit(fs, ys, np.flatnonzero(third != t), epochs)
+            for i in np.flatnonzero(third == t):
+                margins[i] = v[fs[i]].sum() + v[-1]
+        moved = -best_cut(margins, ys, np.where(ys == 1, 1 / share[1], 1 / share[0]), recall_weight)
+    w[-1] += moved
     return w.astype(np.float32)
 
 
@@ -107,7 +129,7 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Da
     """The rows of docs with score, the model's probability of label 1 for the whole text.
 
     A null, empty or wordless text gets the intercept's score. Repeated rows get equal scores; extra columns pass
-    through; an empty table gives an empty result.
+    through, but for one named score, which is replaced; an empty table gives an empty result.
     """
     at = np.flatnonzero(weights)
     box = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at]))  # bounded by 2 ** BITS
@@ -128,4 +150,5 @@ def toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Da
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     score = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.select(*[docs[c] for c in docs.columns], score(docs[text_col]).alias("score"))
+    held = Carried(docs, "score")
+    return held.rows.select(*held.back, score(held.col(text_col)).alias("score"))
