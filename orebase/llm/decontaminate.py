@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, materialise, narrow_side, only, rolling, steps, string_column
+from .common import ALNUM, Carried, Words, materialise, narrow_side, only, rolling, steps, string_column, with_partners
 
 #: Benchmark fingerprints that a task may hold: 8 MB. With more, all document fingerprints go to the join.
 HELD_FINGERPRINTS = 1_000_000
@@ -76,29 +76,35 @@ def fingerprints(rows: DataFrame, window: int, k: int, short: list[int], whole_s
     return rows.mapInArrow(run, "key bigint, n_words bigint, prints array<bigint>")
 
 
-def _hit_spans(pairs: DataFrame, window: int) -> DataFrame:
-    """(key, item_id, spans) of rows (key, item_id, text, item_text) with a hit; spans of word indices, end exclusive."""
+def _hit_spans(pairs: DataFrame, texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(key, item_key, spans) of pairs with a hit; spans of word indices, end exclusive. texts: (key, text), items: (item_key, text)."""
 
     def run(batches):
+        doc, grams = None, {}
         for batch in batches:
-            texts, items, spans = string_column(batch.column(2)), string_column(batch.column(3)), []
+            texts, heads, spans = string_column(batch.column(2)), batch.column(1).is_null().to_pylist(), []
             for a, b in steps(texts):
-                words = Words(pa.concat_arrays([texts.slice(a, b - a), items.slice(a, b - a)]), ALNUM)
-                codes, start, n = words.codes.astype(np.uint64), words.start, b - a
-                for i in range(n):
-                    doc, item = codes[start[i] : start[i + 1]], codes[start[n + i] : start[n + i + 1]]
-                    w = min(window, len(item))
-                    at = np.flatnonzero(np.isin(rolling(doc, w), rolling(item, w))) if w else np.zeros(0, np.int64)
-                    if not len(at):
-                        spans.append(None)
+                words = Words(texts.slice(a, b - a), ALNUM)
+                hashes, start = words.hashes(), words.start
+                for i in range(b - a):
+                    own = hashes[start[i] : start[i + 1]]
+                    spans.append(None)
+                    if heads[a + i]:
+                        doc, grams = own.copy(), {}
                         continue
-                    new = np.flatnonzero(np.diff(at) > w)
-                    spans.append([{"s": int(s), "e": int(e) + w} for s, e in zip(at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]])])
+                    w = min(window, len(own))
+                    if w and w not in grams:
+                        grams[w] = rolling(doc, w)
+                    at = np.flatnonzero(np.isin(grams[w], rolling(own, w))) if w else np.zeros(0, np.int64)
+                    if len(at):
+                        new = np.flatnonzero(np.diff(at) > w)
+                        spans[-1] = [{"s": int(s), "e": int(e) + w} for s, e in zip(at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]])]
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["key", "item_id", "spans"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["key", "item_key", "spans"])
             yield out.filter(pc.is_valid(out.column(2)))
 
-    return pairs.select("key", "item_id", "text", "item_text").mapInArrow(run, "key bigint, item_id string, spans array<struct<s:bigint,e:bigint>>")
+    rows = with_partners(pairs.select(F.col("key").alias("a"), F.col("item_key").alias("b")), texts.withColumnRenamed("key", "a"), items.withColumnRenamed("item_key", "b"))
+    return rows.mapInArrow(run, "key bigint, item_key bigint, spans array<struct<s:bigint,e:bigint>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -108,8 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     A window is `window` consecutive words of an item, or the whole item if it has fewer; a
     document word is hit when any occurrence of a window covers it. Null and empty texts have
     no words and no hits; items without words or with a null id match nothing; items that
-    repeat an id count as one. Repeated rows of docs each get their result. Extra columns pass through;
-    empty tables give empty results, an empty benchmark leaves every row clean.
+    repeat an id count as one. Repeated rows of docs each get their result. Extra columns pass through, but
+    for those named like a result, which are replaced; empty tables give empty results, an empty benchmark leaves every row clean.
     """
     key = F.xxhash64(docs[id_col], docs[text_col])
     rows = docs.select(key.alias("key"), docs[text_col].alias("text"))
@@ -124,8 +130,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     pairs = met.select("key", F.explode("prints").alias("print")).distinct().join(narrow_side(prints, HELD_FINGERPRINTS), "print").select("key", "item_key").distinct()
     pairs = materialise(pairs, "pairs")
     texts = rows.join(narrow_side(pairs.select("key").distinct(), BROADCAST_IDS), "key", "left_semi").dropDuplicates(["key"])
-    item_texts = items.select(F.col("key").alias("item_key"), "item_id", F.col("text").alias("item_text")).dropDuplicates(["item_key"])
-    hits = _hit_spans(pairs.join(item_texts, "item_key").join(texts, "key"), window)
+    item_texts = items.select(F.col("key").alias("item_key"), "item_id", "text").dropDuplicates(["item_key"])
+    hits = _hit_spans(pairs, texts, item_texts.select("item_key", "text"), window).join(item_texts.select("item_key", "item_id"), "item_key")
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     by_doc = hits.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
@@ -134,10 +140,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         return F.struct(F.greatest(state["end"], span["e"]).alias("end"), (state["n"] + F.greatest(F.lit(0).cast("bigint"), span["e"] - F.greatest(state["end"], span["s"]))).alias("n"))
 
     by_doc = by_doc.withColumn("n_hit", F.aggregate("spans", start, covered, lambda s: s["n"]))
-    counts = met.select("key", "n_words").dropDuplicates(["key"]).join(by_doc, "key", "left").withColumnRenamed("key", "__key")
-    found = docs.withColumn("__row", key).join(counts, F.col("__row") == F.col("__key"))
+    counts = met.select("key", "n_words").dropDuplicates(["key"]).join(by_doc, "key", "left")
+    held = Carried(docs, "n_words", "n_hit", "items", "spans", "contaminated")
+    found = held.rows.withColumn("key", F.xxhash64(held.col(id_col), held.col(text_col))).join(counts, "key")
     return found.select(
-        *[docs[c] for c in docs.columns],
+        *held.back,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
