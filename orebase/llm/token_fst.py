@@ -1,20 +1,26 @@
-"""Exact byte-pair token counts with deterministic transducers.
-
-Two machines are compiled. The first splits text into pre-tokens: an eight-state machine over
-character classes that already carry the little lookahead the split needs. A run of texts is
-cut into chunks; each chunk's state map (where it leads from every state) is computed for all
-chunks side by side, the maps are composed by a parallel prefix scan, and a second pass from the
-now known start states marks the boundaries. The second machine reads the bytes of a pre-token;
-each transition carries the change in the number of tokens emitted so far. Its states are found
-as they are met: the longest suffix that some token starts with, and for each place in it the
-last token of the encoding up to there. A token may follow another exactly if no merge across
-their border comes first, so that window decides every later step.
+"""Exact byte-pair token counts with deterministic transducers, compiled once from the vocabulary.
+
+The first machine splits text into pre-tokens: eight states over character classes that already carry
+the little lookahead the split needs. Its transitions emit whether a pre-token starts. A run of
+texts is cut into chunks; each chunk's map (the state it leads to from every state, and the number of
+pre-tokens emitted on the way) is computed for all chunks side by side, and the maps are composed by a parallel
+prefix scan, so that each chunk knows its first state and the number of its first pre-token. A second pass over all chunks
+then writes the boundaries.
+
+The second machine reads the bytes of pre-tokens; each transition emits the change in the number of
+tokens. A state is the longest suffix that some token starts with, and for each place in it the
+last token of the encoding up to there: a token may follow another exactly if no merge across
+their border comes first, so that window decides every later step. The driver compiles it by running the whole
+vocabulary through it and broadcasts the transitions; a pair of state and byte that no token has is added by the task that
+meets it. All pre-tokens of a step go through the machine together, a byte at a time; they begin in the same
+state, so their maps are constants and their counts compose by a prefix sum.
 """
 
 from __future__ import annotations
 
 import json
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +29,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, string_column
+from .common import Carried, steps, string_column
 
 STATES, SYMBOLS, FIRST = 8, 16, 8
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, LEADING, ONE_MORE, TWO_MORE = range(STATES)
 LETTER, NUMBER, OTHER, LAST_SPACE, LAST_BLANK, INNER_BLANK, SHORT_CLITIC, LONG_CLITIC = range(8)
 CHUNK = 256
-#: Transitions and states that a worker keeps; beyond that it starts anew.
-MOST_STATES, MOST_PIECES = 150_000, 300_000
+#: States that a worker adds to the compiled ones before it starts anew from them.
+MORE_STATES = 350_000
+#: Pre-tokens that are still being read together; the last few are read one by one.
+FEW = 16
+#: Room for the change in tokens beside the next state.
+HALF, SHIFT = 1 << 15, 16
 #: Text bytes per numpy step.
 STEP = 8 << 20
 
@@ -88,6 +98,18 @@ def symbols(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return kind + FIRST * first.astype(np.uint8)
 
 
+def composed(ends: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps of all chunks up to each one, by a parallel prefix scan; rows are chunks, columns their first states."""
+    step = 1
+    while step < len(ends):
+        middle = ends[:-step].astype(np.intp)  # where the chunks before lead
+        later = np.take_along_axis(emitted[step:], middle, 1)
+        emitted[step:] = emitted[:-step] + later
+        ends[step:] = np.take_along_axis(ends[step:], middle, 1)
+        step *= 2
+    return ends, emitted
+
+
 def starts(symbol: np.ndarray) -> np.ndarray:
     """Indices of the characters that start a pre-token."""
     n = len(symbol)
@@ -95,29 +117,32 @@ def starts(symbol: np.ndarray) -> np.ndarray:
     grid = np.full(rows * CHUNK, OTHER, np.uint8)
     grid[:n] = symbol
     grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
-    goes, cuts = GOES.ravel(), CUTS.ravel()
+    goes, cuts = GOES.ravel(), CUTS.ravel().astype(np.uint16)
     ends = np.tile(np.arange(STATES, dtype=np.uint8)[:, None], (1, rows))
+    emitted = np.zeros((STATES, rows), np.uint16)
     for column in grid:
-        ends = goes[(ends << 4) | column]
-    maps = np.ascontiguousarray(ends.T)
-    step = 1
-    while step < rows:  # maps[i] becomes the map of all chunks up to i
-        maps[step:] = np.take_along_axis(maps[step:], maps[:-step].astype(np.intp), 1)
-        step *= 2
-    state = np.zeros(rows, np.uint8)
-    state[1:] = maps[:-1, FRESH]
-    marks = np.empty(grid.shape, bool)
+        here = (ends << 4) | column
+        emitted += cuts.take(here)
+        ends = goes.take(here)
+    ends, emitted = composed(np.ascontiguousarray(ends.T), emitted.T.astype(np.int64))
+    state, number = np.zeros(rows, np.uint8), np.zeros(rows, np.int64)
+    state[1:], number[1:] = ends[:-1, FRESH], emitted[:-1, FRESH]
+    # Filled-up places of the last chunk may emit too: they come last and are cut off.
+    out, base, cuts = np.zeros(emitted[-1, FRESH] + 1, np.int64), np.arange(rows) * CHUNK, CUTS.ravel()
     for j, column in enumerate(grid):
         here = (state << 4) | column
-        marks[j], state = cuts[here], goes[here]
-    return np.flatnonzero(marks.T.ravel()[:n])
+        starting = np.flatnonzero(cuts.take(here))
+        out[number[starting]] = base[starting] + j
+        number[starting] += 1
+        state = goes.take(here)
+    return out[: np.searchsorted(out[:-1], n)]
 
 
 class PieceCounter:
     """The transducer from the bytes of a pre-token to its number of tokens."""
 
-    def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, vocabulary: str):
+        model = json.loads(vocabulary)["model"]
         # The vocabulary writes bytes as printable characters: those that are printable as themselves, the others from U+0100 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -131,13 +156,36 @@ class PieceCounter:
             made.add(left + right)
         self.ids = {word: i for word, i in ids.items() if len(word) == 1 or word in made}
         self.prefixes = {word[:n] for word in self.ids for n in range(1, len(word) + 1)}
+        if max(map(len, self.ids)) >= HALF:
+            raise ValueError(f"tokens of {HALF} bytes or more don't fit into a transition")
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, int] = {}
+        begin = (b"", (-1,), (0,))
+        self.windows, self.numbers, self.moves = [begin], {begin: 0}, {}
+        for word in self.ids:
+            self._walk(word, 0)
+        self.compiled = len(self.windows)
+        self.base = self.moves
         self._reset()
 
     def _reset(self) -> None:
-        begin = (b"", (-1,), (0,))
-        self.windows, self.numbers, self.moves = [begin], {begin: 0}, {}
+        for window in self.windows[self.compiled :]:
+            del self.numbers[window]
+        del self.windows[self.compiled :]
+        self.moves = dict(self.base)
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The transitions as sorted arrays."""
+        keys = np.fromiter(self.moves.keys(), np.int64, len(self.moves))
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.fromiter(self.moves.values(), np.int64, len(self.moves))[order]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("moves", "keys", "targets")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._reset()
 
     def _may_follow(self, one: int, two: int) -> bool:
         """No merge over the border of two tokens comes before those that make them."""
@@ -164,7 +212,7 @@ class PieceCounter:
         return known
 
     def _move(self, state: int, byte: int) -> int:
-        """Adds the transition; returns 256 * next state + change in tokens + 128."""
+        """Adds the transition; returns the next state << SHIFT | change in tokens + HALF."""
         suffix, lasts, counts = self.windows[state]
         suffix += bytes((byte,))
         drop = 0
@@ -176,37 +224,66 @@ class PieceCounter:
             if token is not None and (last < 0 or self._may_follow(last, token)):
                 break
         change = counts[i] + 1
-        window = (suffix, (*lasts, token), (*(c - change for c in counts), 0))
+        window = (suffix, (*lasts, token), (*[c - change for c in counts], 0))
         number = self.numbers.get(window)
         if number is None:
             number = self.numbers[window] = len(self.windows)
             self.windows.append(window)
-        move = self.moves[state << 8 | byte] = number << 8 | change + 128
+        move = self.moves[state << 8 | byte] = number << SHIFT | change + HALF
         return move
 
-    def count(self, piece: bytes) -> int:
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
-        if len(self.windows) > MOST_STATES:
-            self._reset()
-        state, n, moves = 0, 0, self.moves
+    def _walk(self, piece: bytes, state: int) -> int:
+        """Tokens that reading piece from a state adds."""
+        n, moves = 0, self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._move(state, byte)
-            n += (move & 255) - 128
-            state = move >> 8
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        if len(piece) <= 64:
-            self.pieces[piece] = n
+            n += (move & (2 * HALF - 1)) - HALF
+            state = move >> SHIFT
         return n
 
-
-@lru_cache(2)
-def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    def _next(self, key: np.ndarray) -> np.ndarray:
+        """The transitions of keys state << 8 | byte."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        missing = np.flatnonzero(self.keys[at] != key)
+        if len(missing):
+            new = np.unique(key[missing])
+            move = np.array([self._move(k >> 8, k & 255) for k in new.tolist()], np.int64)
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.targets = np.insert(self.keys, place, new), np.insert(self.targets, place, move)
+            at = np.searchsorted(self.keys, key)
+        return self.targets[at]
+
+    def count(self, pieces: pa.Array) -> np.ndarray:
+        """Tokens of each pre-token of a large_binary array."""
+        if len(self.windows) > self.compiled + MORE_STATES:
+            self._reset()
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        order = np.argsort(ends[:-1] - ends[1:], kind="stable")  # longest first
+        first, size = ends[:-1][order], np.diff(ends)[order]
+        state, tokens = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        reading, j = int((size > 0).sum()), 0
+        while reading > FEW:
+            move = self._next(state[:reading] << 8 | data[first[:reading] + j])
+            tokens[:reading] += (move & (2 * HALF - 1)) - HALF
+            state[:reading] = move >> SHIFT
+            j += 1
+            reading = int(np.searchsorted(-size, -j, side="left"))
+        known = len(self.moves)
+        for i in range(reading):
+            tokens[i] += self._walk(data[first[i] + j : first[i] + size[i]].tobytes(), int(state[i]))
+        if len(self.moves) > known:
+            self._tabulate()
+        out = np.empty(len(order), np.int64)
+        out[order] = tokens
+        return out
+
+
+def compiled(path: str) -> PieceCounter:
+    """The count transducer of a byte-level BPE file."""
+    return PieceCounter(Path(path).read_text(encoding="utf-8"))
 
 
 def count_texts(texts: list[str], machine: PieceCounter) -> np.ndarray:
@@ -223,7 +300,7 @@ def count_texts(texts: list[str], machine: PieceCounter) -> np.ndarray:
     ends = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
     data = b"".join(encoded)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(ends[cut], len(data))), pa.py_buffer(data)]).dictionary_encode()
-    counts = np.array([machine.count(p) for p in pieces.dictionary.to_pylist()], np.int64)[pieces.indices.to_numpy()]
+    counts = machine.count(pieces.dictionary)[pieces.indices.to_numpy()]
     total = np.concatenate([[0], np.cumsum(counts)])
     return total[np.searchsorted(cut, begins + sizes)] - total[np.searchsorted(cut, begins)]
 
@@ -231,14 +308,16 @@ def count_texts(texts: list[str], machine: PieceCounter) -> np.ndarray:
 def token_counts(docs: DataFrame, tokenizer: str, special: tuple[str, ...] = ("<|endoftext|>",), text_col: str = "text") -> DataFrame:
     """The rows of docs with n_bytes and n_tokens of the whole text.
 
-    tokenizer is the path of a byte-level BPE file, the same on every executor. Strings in
+    tokenizer is the path of a byte-level BPE file, which the driver compiles. Strings in
     `special` count one token each. A null text counts as an empty one: 0 bytes and 0 tokens. Repeated rows are
-    counted each; extra columns pass through; an empty table gives an empty result.
+    counted each; extra columns pass through, but for those named like a result, which are replaced; an empty
+    table gives an empty result. A vocabulary with tokens too long for the transitions raises ValueError.
     """
 
     import pandas as pd
 
     split = regex.compile("|".join(map(regex.escape, special))) if special else None
+    box = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))  # as large as the vocabulary makes it
 
     def run(batches):
         for column in batches:
@@ -251,8 +330,10 @@ def token_counts(docs: DataFrame, tokenizer: str, special: tuple[str, ...] = ("<
                     extra[i] = len(found) - 1
                     units += found
                     of += [i] * len(found)
-                out.append(np.bincount(of, count_texts(units, counter(tokenizer)), b - a).astype(np.int64) + extra)
+                out.append(np.bincount(of, count_texts(units, box.value), b - a).astype(np.int64) + extra)
             yield pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
 
     count = F.pandas_udf(run, "bigint", F.PandasUDFType.SCALAR_ITER)
-    return docs.select(*[docs[c] for c in docs.columns], F.octet_length(F.coalesce(docs[text_col], F.lit(""))).cast("bigint").alias("n_bytes"), count(docs[text_col]).alias("n_tokens"))
+    held = Carried(docs, "n_bytes", "n_tokens")
+    text = held.col(text_col)
+    return held.rows.select(*held.back, F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_bytes"), count(text).alias("n_tokens"))
