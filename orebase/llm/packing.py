@@ -2,51 +2,128 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, only, string_column
+from .common import materialise, only, steps, string_column
 
 #: Pieces that one task packs; a group's last open sequences are what it can waste.
 GROUP = 40_000
+#: Chunks of text whose ids a worker keeps, of at most so many bytes each: 110 MB.
+MOST_CHUNKS, CHUNK_BYTES = 500_000, 48
+#: Text bytes per step.
+STEP = 16 << 20
 
 
-@lru_cache(2)
-def _encoding(ranks: str, pattern: str, special: tuple[tuple[str, int], ...]):
-    import tiktoken
+class ChunkEncoder:
+    """Ids of whole texts by a tokenizer of the library, which is asked once for each distinct chunk.
+
+    A text is cut where white space follows something else and where a sign other than an apostrophe follows an ASCII
+    letter. A byte-level tokenizer with the usual split never has a token across such a place, and what it
+    makes of a chunk depends on nothing outside. Texts that hold a special token are cut at white space only;
+    other tokenizers get whole texts.
+    """
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(word): int(i) for word, i in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(special))
+    def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and spec.get("normalizer") is None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.cuts = plain and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
+        self.known: dict[str, bytes] = {}
+        blank = np.zeros(256, bool)
+        blank[[*range(0x09, 0x0E), 0x20]] = True
+        # Last bytes of white space beyond ASCII: nothing is cut behind them, whatever they end here.
+        maybe = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
+        self.blank, self.before = blank, ~blank
+        self.before[maybe] = False
+        self.letter, self.sign = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+        self.sign[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(chunks of all texts, index of each text's first)."""
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        if not self.cuts:
+            return texts, np.arange(len(texts) + 1)
+        cut = np.zeros(len(raw) + 1, bool)
+        if len(raw):
+            signs = self.letter[raw[:-1]] & self.sign[raw[1:]]
+            for token in self.special:
+                for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)):
+                    signs[ends[i] : max(ends[i], ends[i + 1] - 1)] = False
+            cut[1:-1] = signs | self.before[raw[:-1]] & self.blank[raw[1:]]
+        cut[ends[:-1]] = True
+        cut[-1] = True
+        at = np.flatnonzero(cut)
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw)), np.searchsorted(at, ends)
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, which has at least a row in a large_string array."""
+        chunks, first = self._chunks(texts)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.known]
+        found = {}
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                found[c] = array("I", e.ids).tobytes()
+        parts = [self.known.get(c) if c in self.known else found[c] for c in distinct]
+        if len(self.known) + len(found) > MOST_CHUNKS:
+            self.known.clear()
+        self.known.update((c, i) for c, i in found.items() if len(c) <= CHUNK_BYTES)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[first]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text's ids and end_id, cut into at most `capacity`."""
-    fixed = tuple(sorted(special.items()))
 
     def run(batches):
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            encode = _encoding(ranks, pattern, fixed)
             texts, at, piece, start, length, crc = string_column(batch.column(1)), [], [], [], [], []
-            for i in range(len(texts)):
-                ids = np.append(encode.encode_to_numpy(texts[i].as_py(), allowed_special="all", disallowed_special=()), np.uint32(end_id)).astype("<u4")
-                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    at.append(i)
-                    piece.append(j)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+            for low, high in steps(texts, STEP):
+                for i, own in enumerate(encoder.ids(texts.slice(low, high - low)), low):
+                    ids = np.append(own, np.array([end_id], "<u4"))
+                    cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                    for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        at.append(i)
+                        piece.append(j)
+                        start.append(a)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(ids[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                [pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
     kind = only(docs, doc_id=id_col).schema[0].dataType.simpleString()
@@ -54,7 +131,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, special: dict[str, i
 
 
 class SquaresPacker:
-    """Open bins by gap; each piece goes where the sum over gaps of squared counts becomes smallest."""
+    """Open bins by gap; each piece goes where the sum over gaps of squared counts becomes smallest, be that a new bin."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -63,16 +140,15 @@ class SquaresPacker:
         self.bins = 0
 
     def place(self, size: int) -> tuple[int, int]:
-        """(bin, offset) for a piece; the smallest gap wins a tie, a new bin opens only where no open one has room."""
+        """(bin, offset) for a piece. In a tie an open bin goes before a new one, and the smallest gap before larger ones."""
         n, full = self.counts, self.capacity
-        here = n[size:full]
-        cost = 2 * (n[: full - size] - here)  # one bin leaves gap size + i, one enters gap i
-        best = None
-        if len(cost):
-            cost[0] -= 1  # a filled bin has no gap to count
-            cost[here == 0] = np.iinfo(np.int64).max
-            best = int(cost.argmin())
-        if best is not None and here[best]:
+        # One bin more of gap g adds 2 n[g] + 1, one less adds 1 - 2 n[g]; filled and new bins have no gap to count.
+        entering = 2 * n[: full - size + 1] + 1
+        entering[0] = 0
+        here = n[size:]
+        cost = np.where(here > 0, entering + 1 - 2 * here, entering[-1] + 1)  # what has no bin is never cheaper than a new one
+        best = int(cost.argmin())
+        if here[best] and cost[best] <= entering[-1]:
             gap = size + best
             number = self.open[gap].pop()
             n[gap] -= 1
@@ -89,7 +165,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFra
     """pieces (with `length` from 1 to capacity) with sequence_id and offset.
 
     Pieces of full length are sequences of their own. The others are dealt into groups of about
-    `group` by a hash of the row and packed longest first within a group: each group has its own open
+    `group` by a hash of the row and packed within a group: those longer than half a sequence first, the longest
+    before shorter ones, then the rest in the order of the hash. Each group has its own open
     sequences, so tasks need nothing from each other. Rows with equal columns are each packed.
     An empty table gives an empty result.
     """
@@ -97,7 +174,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFra
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("bigint")})
     rest = pieces.where(F.col("length") < capacity)
     groups = max(1, round(rest.count() / group))
-    rest = rest.repartition(groups, F.xxhash64(*names)).sortWithinPartitions(F.col("length").desc(), *names)
+    turn = F.when(F.col("length") * 2 > capacity, F.col("length")).otherwise(0)
+    rest = rest.repartition(groups, F.xxhash64(*names)).sortWithinPartitions(turn.desc(), F.xxhash64(*names), *names)
 
     def run(batches):
         packer, base = SquaresPacker(capacity), TaskContext.get().partitionId() << 33
@@ -108,13 +186,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFra
     return rest.mapInPandas(run, full.schema).unionByName(full)
 
 
-def packed_documents(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is the ids of its whole text and then end_id. One longer than capacity is cut
+    A document is the ids of its whole text, as the tokenizers library gives them for the file `tokenizer`
+    without special tokens added, and then end_id. One longer than capacity is cut
     into pieces of capacity ids, the first of which may be shorter. A null or empty text is
     end_id alone. Rows are packed each for itself, also those that repeat or have a null id.
     Other columns are ignored; an empty table gives an empty result.
     """
-    pieces = materialise(token_pieces(docs, ranks, pattern, special or {}, end_id, capacity, id_col, text_col), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
     return pack(pieces, capacity)

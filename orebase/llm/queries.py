@@ -16,6 +16,8 @@ from .packing import packed_documents
 from .secrets import secret_spans, span_text
 from .token_fst import token_counts
 
+#: A toxic document missed counts as much as this many squared clean ones rejected, where the cut is chosen.
+RECALL_WEIGHT = 2.0
 #: The tokenizer's special strings, as its file gives them.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -36,7 +38,7 @@ def _scored(scored: DataFrame, limit: float) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out(F.col("doc_id"), 5, 0))
+    weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out(F.col("doc_id"), 5, 0), recall_weight=RECALL_WEIGHT)
     return _scored(toxicity.toxicity(docs, weights), 0.5)
 
 
@@ -65,7 +67,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens by the sum-of-squares rule."""
     import public_tokenizers
 
-    return packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL, end_id=2, capacity=1024)
+    return packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

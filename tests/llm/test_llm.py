@@ -16,7 +16,7 @@ from orebase.llm.line_dedup import dedup_lines
 from orebase.llm.minhash import near_duplicates
 from orebase.llm.packing import packed_documents
 from orebase.llm.secrets import secret_spans, span_text
-from orebase.llm.token_fst import counter, count_texts, token_counts
+from orebase.llm.token_fst import compiled, count_texts, token_counts
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -111,7 +111,7 @@ def test_packing_and_token_counts(spark):
     got = token_counts(table(spark, rows), P.path("byte_bpe_50k.json")).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(x) for i, x in ids.items()}
     assert all(r.n_bytes == len((dict(rows)[r.doc_id] or "").encode()) for r in got)
-    pieces = packed_documents(table(spark, rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256}).toPandas()
+    pieces = packed_documents(table(spark, rows), P.path("byte_bpe_50k.json")).toPandas()
     for i, p in pieces.sort_values("piece").groupby("doc_id"):
         full = np.array(ids[i] + [2], "<u4")
         assert p.length.sum() == len(full)
@@ -124,7 +124,7 @@ def test_token_machine_on_odd_texts():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    t, m = Tokenizer.from_file(P.path("byte_bpe_50k.json")), counter(P.path("byte_bpe_50k.json"))
+    t, m = Tokenizer.from_file(P.path("byte_bpe_50k.json")), compiled(P.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(4)
     bits = ["a", "'s", "'re", "'", " ", "\n", "é", "中", "😀", "1", "!", "\x00", " ", "​", "the", "'ll"]
     some = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(2000)] + ["ab" * 3000, " " * 700]
