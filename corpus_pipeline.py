@@ -16,7 +16,7 @@ from orebase.llm.decontaminate import contamination
 from orebase.llm.line_dedup import dedup_lines
 from orebase.llm.minhash import near_duplicates
 from orebase.llm.packing import packed_documents
-from orebase.llm.queries import SPECIAL
+from orebase.llm.queries import RECALL_WEIGHT
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 stay; a document with a null text is scored as an empty one."""
-    weights = tox.train(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out(F.col("doc_id"), 5, 0))
+    weights = tox.train(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out(F.col("doc_id"), 5, 0), recall_weight=RECALL_WEIGHT)
     return tox.toxicity(docs.select(*COLUMNS), weights).where("score < 0.5").select(*COLUMNS)
 
 
@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL, end_id=2, capacity=1024)
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash", minhash), ("decontaminate", decontaminate), ("packing", packing)]
