@@ -1,17 +1,19 @@
 """Text scores: a smoothed unigram baseline from all training documents and a log-bilinear neural model.
 
 Every word whose count the tasks hold is a class of its own, all others share one. The two tokens
-before a word predict its vector: each place has a weight per dimension. The classes are the leaves
-of a Huffman tree; every inner node has a vector and a bias, and the product of prediction and
-vector gives the odds of its two sides. So probabilities are exactly normalised without a sum over
-classes, and the parameters grow with the vocabulary: a context vector a class, a vector and a bias
-an inner node. Before training, each class has its unigram probability. A word of the rest class gets
+before a word predict its vector: each place has a weight per dimension. The classes are dealt into about as many
+groups as a group has members, words with like neighbours together. The log-odds of a group and of a
+class within its group are the products of the prediction with their vectors, plus biases. Both sets of scores are
+trained with noise-contrastive estimation: each token against noise drawn from the unigram distribution of groups, and of
+its own group's classes. At scoring, two batched matrix products give all groups' and all the group's classes'
+scores of a token, so its probability is exactly normalised. The parameters grow with the
+vocabulary. Before training, each class has its unigram probability. A word of the rest class gets
 the class's probability times its smoothed share of it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, materialise, only, steps, string_column, word_hashes
 
-DIMS = 16
-#: Most frequent words that every task holds with counts and vectors, at most: 60 MB. The others meet their counts in a join.
-HELD_WORDS = 1 << 18
-BATCH = 4096
+#: Numbers of a prediction, a bias beside them.
+DIMS = 7
+#: Most frequent words that every task holds with counts and vectors, at most; 80 bytes each. The others meet their counts in a join.
+HELD_WORDS = 1 << 15
+#: Tokens of one training step, and of one matrix product in scoring.
+BATCH, PRODUCT = 1 << 10, 1 << 10
+#: Noise groups for the tokens of a step, and noise classes for those of a group.
+NOISE_GROUPS, NOISE_CLASSES = 24, 4
+#: Adagrad's rate of the first round.
+RATE = 0.12
 #: Averaged rounds, each over its own share of the texts, and the tokens that one task learns from in a round.
-ROUNDS, TASK_TOKENS = 3, 1 << 20
+ROUNDS, TASK_TOKENS = 3, 1 << 21
 #: Parameter rows that tasks send together.
 BLOCK = 256
 #: Word hashes are 64 bits; no word hashes to this value's place in practice, it stands for the end of a text.
@@ -92,6 +100,12 @@ class Vocabulary:
         held = self.words[at] == distinct
         return np.where(held, self.classes[at], self.rest), np.where(held, self.counts[at], -1)
 
+    def renumbered(self, order: np.ndarray) -> Vocabulary:
+        """The same with classes in the given order; the rest class stays last."""
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return replace(self, classes=place[self.classes], unigram=np.append(self.unigram[:-1][order], self.unigram[-1]))
+
     @property
     def rest(self) -> int:
         """The class of all words that the tasks don't hold."""
@@ -112,111 +126,149 @@ def _contexts(classes: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndar
     return one, two
 
 
-def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, path, odds): path[start[i]:start[i + 1]] are leaf i's inner nodes as 2 * node + side; odds: log of side 1 to side 0."""
-    n = len(weights)
-    order = np.argsort(weights, kind="stable")
-    queues = [list(zip(weights[order].tolist(), order.tolist())), []]
-    at, parent, side, odds = [0, 0], np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64), np.zeros(n - 1)
-    for node in range(n - 1):
-        two = []
-        for _ in range(2):
-            heads = [q[a][0] if a < len(q) else np.inf for q, a in zip(queues, at)]
-            k = int(heads[1] < heads[0])
-            two.append(queues[k][at[k]])
-            at[k] += 1
-        for b, (_, child) in enumerate(two):
-            parent[child], side[child] = node, b
-        odds[node] = np.log(two[1][0] / two[0][0])
-        queues[1].append((two[0][0] + two[1][0], n + node))
-    leaf, now, leaves, codes = np.arange(n if n > 1 else 0), np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(leaf):
-        up = parent[now[leaf]]
-        leaves.append(leaf)
-        codes.append(2 * up + side[now[leaf]])
-        now[leaf] = n + up
-        leaf = leaf[up < n - 2]
-    leaves = np.concatenate(leaves)
-    path = np.concatenate(codes)[np.argsort(leaves, kind="stable")].astype(np.int32)
-    return np.concatenate([[0], np.cumsum(np.bincount(leaves, minlength=n))]), path, odds
+def like_neighbours(vectors: np.ndarray) -> np.ndarray:
+    """An order of rows in which like ones stand together: halves along the axis of most variance, and so on within halves."""
+    out, open_ = [], [np.arange(len(vectors))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= 32:
+            out.append(own)
+            continue
+        x = vectors[own] - vectors[own].mean(0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        half = np.argsort(along, kind="stable")
+        open_ += [own[half[len(own) // 2 :]], own[half[: len(own) // 2]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.maximum(x, -60)))
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sum of their rows); keys are sorted."""
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(rows, first, 0)
 
 
 class LogBilinear:
-    """One matrix of parameters: a context vector per class, a vector and last a bias per inner node, the weights of both places."""
+    """One matrix of parameters: context vectors of all classes, vectors and biases of all classes, those of groups, the weights of both places."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
-        self.n = len(unigram)
-        self.start, self.path, odds = huffman(unigram)
-        self.w = np.zeros((2 * self.n + 1, DIMS + 1), np.float32)
-        self.w[: self.n, :DIMS] = np.random.default_rng(seed).normal(0, 0.3, (self.n, DIMS))
-        self.w[self.n : -2, DIMS] = odds
-        self.w[-2:, :DIMS] = 1
-
-    def _walk(self, word: np.ndarray, h: np.ndarray):
-        """(first, prediction, node, side, vector, margin) of the path steps of all words, those of a word together."""
-        size = self.start[word + 1] - self.start[word]
-        ends = np.cumsum(size)
-        first, token = ends - size, np.repeat(np.arange(len(word)), size)
-        code = self.path[np.repeat(self.start[word] - first, size) + np.arange(len(token))]
-        node, side = self.n + (code >> 1), code & 1
-        v, h = self.w.take(node, 0), h.take(token, 0)
-        return first, h, node, side, v, np.einsum("ij,ij->i", v, h)
-
-    def _predicted(self, one: np.ndarray, two: np.ndarray):
+        n = self.n = len(unigram)
+        groups = max(1, round(n**0.5))
+        self.bounds = np.linspace(0, n, groups + 1).astype(np.int64)
+        self.group = np.repeat(np.arange(groups), np.diff(self.bounds))
+        mass = np.add.reduceat(unigram, self.bounds[:-1])
+        self.log_group, self.log_class = np.log(mass / mass.sum()).astype(np.float32), np.log(unigram / mass[self.group]).astype(np.float32)
+        self.up_to = np.concatenate([[0], np.cumsum(unigram)])
+        self.w = np.zeros((2 * n + groups + 2, DIMS + 1), np.float32)
+        self.contexts, self.classes, self.groups, self.places = (slice(*x) for x in ((0, n), (n, 2 * n), (2 * n, 2 * n + groups), (2 * n + groups, 2 * n + groups + 2)))
+        self.w[self.contexts, :DIMS] = np.random.default_rng(seed).normal(0, 0.3, (n, DIMS))
+        self.w[self.classes, DIMS], self.w[self.groups, DIMS] = self.log_class, self.log_group
+        self.w[self.places, :DIMS] = 1
+
+    def _predicted(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context vectors of both places, prediction); the prediction ends in 1, which meets the biases."""
         r1, r2 = self.w.take(one, 0), self.w.take(two, 0)
-        h = r1 * self.w[-2] + r2 * self.w[-1]
+        p1, p2 = self.w[self.places]
+        h = r1 * p1 + r2 * p2
         h[:, DIMS] = 1
         return r1, r2, h
 
     def logs(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The natural log of each class's probability after its context."""
-        out = np.zeros(len(word))
-        for s in range(0, len(word) if self.n > 1 else 0, BATCH):
-            at = slice(s, s + BATCH)
-            first, _, _, side, _, z = self._walk(word[at], self._predicted(one[at], two[at])[2])
-            out[at] = np.add.reduceat(-np.log(1 + np.exp(np.clip(z * (1 - 2 * side).astype(np.float32), -60, 60))), first, dtype=np.float64)
+        out, order = np.zeros(len(word)), np.argsort(word, kind="stable")
+        all_groups, all_classes = np.ascontiguousarray(self.w[self.groups].T), self.w[self.classes]
+        ones = np.ones(max(all_groups.shape[1], int(np.diff(self.bounds).max())), np.float32)
+        far = np.sqrt(max((self.w[self.groups] ** 2).sum(1).max(), (all_classes**2).sum(1).max()))
+
+        def log_share(scores: np.ndarray, own: np.ndarray, large: bool) -> np.ndarray:
+            if large:  # only then can exp leave the range of a float
+                scores -= scores.max(1)[:, None]
+            picked = scores[np.arange(len(own)), own]
+            return picked - np.log(np.exp(scores, out=scores) @ ones[: scores.shape[1]])
+
+        for s in range(0, len(word), PRODUCT):
+            at = order[s : s + PRODUCT]
+            w, g = word[at], self.group[word[at]]
+            h = self._predicted(one[at], two[at])[2]
+            large = bool(np.sqrt((h * h).sum(1).max()) * far > 60)
+            own = log_share(h @ all_groups, g, large).astype(float)
+            edges = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g))
+            for a, b in zip(edges, edges[1:]):
+                low, high = self.bounds[g[a]], self.bounds[g[a] + 1]
+                own[a:b] += log_share(h[a:b] @ all_classes[low:high].T, w[a:b] - low, large)
+            out[at] = own
         return out
 
     def train(self, stream, rate: float) -> np.ndarray:
-        """One pass of Adagrad on the log probability over (word, one, two) batches; how often each row was met."""
-        squares, met = np.ones(len(self.w), np.float32), np.zeros(len(self.w), np.float32)
-        place, slot, there = np.arange(len(self.w) - 2, len(self.w)), np.zeros(len(self.w), np.int64), np.zeros(len(self.w), bool)
-
-        def step(rows: np.ndarray, gradients: np.ndarray) -> None:
-            there[rows] = True
-            own = np.flatnonzero(there)
-            there[own] = False
-            slot[own] = np.arange(len(own))
-            at, width = slot[rows], gradients.shape[1]
-            cells = (at[:, None] * width + np.arange(width)).ravel()
-            d = np.bincount(cells, gradients.ravel(), len(own) * width).reshape(-1, width).astype(np.float32)
-            squares[own] += (d * d).mean(1)
-            self.w[own, : d.shape[1]] -= rate * d / np.sqrt(squares[own])[:, None]
-            met[own] += np.bincount(at, minlength=len(own))
+        """One pass of noise-contrastive estimation with Adagrad over (word, one, two) steps; how often each row was met."""
+        squares, met, rng = np.ones(len(self.w), np.float32), np.zeros(len(self.w), np.float32), np.random.default_rng(11)
+        w, n, groups = self.w, self.n, len(self.bounds) - 1
+        mass = np.exp(self.log_group.astype(float))
+        mass /= mass.sum()
+        off_group, off_class = np.log(np.float32(NOISE_GROUPS)) + self.log_group, np.log(np.float32(NOISE_CLASSES)) + self.log_class
+        start, weight = self.up_to[self.bounds[:-1]], np.diff(self.up_to[self.bounds])
+        all_groups, places = np.arange(self.groups.start, self.groups.stop), np.arange(self.places.start, self.places.stop)
+        drawn_groups = iter(())
 
         for word, one, two in stream:
+            order = np.argsort(word, kind="stable")
+            word, one, two = word[order], one[order], two[order]
+            g = self.group[word]
             r1, r2, h = self._predicted(one, two)
-            first, h, node, side, v, z = self._walk(word, h)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - side).astype(np.float32)
-            d_h = np.add.reduceat(g[:, None] * v, first)
+            edges = np.flatnonzero(np.diff(g, prepend=-1))
+            there = g[edges]
+
+            u = w[self.groups]
+            noise = next(drawn_groups, None)
+            if noise is None:
+                drawn_groups = iter(rng.choice(groups, (256, NOISE_GROUPS), p=mass))
+                noise = next(drawn_groups)
+            against = u[noise]
+            p = _sigmoid(h @ against.T - off_group[noise])
+            own = u[g]
+            z = (_sigmoid(np.einsum("ij,ij->i", h, own) - off_group[g]) - 1)[:, None]
+            d_h = p @ against + z * own
+            d_u = np.zeros_like(u)
+            d_u[there] = np.add.reduceat(z * h, edges, 0)
+            np.add.at(d_u, noise, p.T @ h)
+
+            own = w.take(n + word, 0)
+            z = (_sigmoid(np.einsum("ij,ij->i", h, own) - off_class[word]) - 1)[:, None]
+            d_h += z * own
+            drawn = np.searchsorted(self.up_to, start[there][:, None] + rng.random((len(there), NOISE_CLASSES)) * weight[there][:, None], side="right") - 1
+            drawn = np.clip(drawn, self.bounds[there][:, None], self.bounds[there + 1][:, None] - 1)
+            mine = np.repeat(np.arange(len(there)), np.diff(np.append(edges, len(g))))
+            against = w[n + drawn][mine]
+            p = _sigmoid(np.einsum("ij,ikj->ik", h, against) - off_class[drawn][mine])
+            d_h += np.einsum("ik,ikj->ij", p, against)
+            d_n = np.add.reduceat(p[:, :, None] * h[:, None, :], edges, 0)
+
             d_h[:, DIMS] = 0
-            weights = self.w[-2:].copy()
-            step(node, g[:, None] * h)
-            step(np.concatenate([one, two]), np.concatenate([d_h * weights[0], d_h * weights[1]]))
-            step(place, np.stack([(d_h * r1).sum(0), (d_h * r2).sum(0)]))
+            p1, p2 = w[self.places].copy()
+            d_p = np.stack([(d_h * r1).sum(0), (d_h * r2).sum(0)])
+            rows = np.concatenate([one, two, n + word, n + drawn.ravel()])
+            order = np.argsort(rows)
+            rows, d = _summed(rows[order], np.concatenate([d_h * p1, d_h * p2, z * h, d_n.reshape(-1, DIMS + 1)])[order])
+            rows, d = np.concatenate([rows, all_groups, places]), np.concatenate([d, d_u, d_p])
+            squares[rows] += (d * d).mean(1)
+            w[rows] -= d * (rate / np.sqrt(squares[rows]))[:, None]
+            met[rows] += 1
         return met
 
 
 def _blocks(rows: np.ndarray, met: np.ndarray, moved: np.ndarray):
-    """(block, places, met, moved) as bytes of rows in order."""
+    """A batch (block, places, met, moved) of rows in order, as bytes."""
     ends = np.flatnonzero(np.diff(rows // BLOCK, append=-1)) + 1
-    for a, b in zip([0, *ends[:-1]], ends):
-        yield int(rows[a] // BLOCK), (rows[a:b] % BLOCK).astype(np.uint8).tobytes(), met[a:b].tobytes(), moved[a:b].astype(np.float16).tobytes()
+    out = [(int(rows[a] // BLOCK), (rows[a:b] % BLOCK).astype(np.uint8).tobytes(), met[a:b].astype(np.float32).tobytes(), moved[a:b].astype(np.float16).tobytes()) for a, b in zip([0, *ends[:-1]], ends)]
+    block, *rest = zip(*out)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], ["block", "places", "met", "moved"])
 
 
 def _averaged(batches):
-    """Each row's mean way over the tasks that met it, by how often they did."""
+    """Each row's mean over the tasks that met it, by how often they did."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, places, met, moved in zip(*[c.to_pylist() for c in batch.columns]):
@@ -225,16 +277,68 @@ def _averaged(batches):
             one[at, : DIMS + 1] += np.frombuffer(moved, np.float16).reshape(len(at), -1) * n[:, None].astype(float)
             one[at, DIMS + 1] += n
     for block, one in sums.items():
-        mean = (one[:, : DIMS + 1] / np.maximum(one[:, DIMS + 1 :], 1)).astype(np.float32)
+        mean = (one[:, : DIMS + 1] / np.maximum(one[:, DIMS + 1 :], 1e-9)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["block", "mean"])
 
 
+def _means(tasks: DataFrame, run, size: int) -> np.ndarray:
+    """The rows' means over what run yields in the tasks; combined in tasks, so bounded by the rows for the driver."""
+    moved = tasks.mapInArrow(run, "block int, places binary, met binary, moved binary")
+    means, out = moved.repartition("block").mapInArrow(_averaged, "block int, mean binary").toArrow(), np.zeros((size, DIMS + 1), np.float32)
+    for block, mean in zip(means["block"].to_pylist(), means["mean"]):
+        at = slice(block * BLOCK, (block + 1) * BLOCK)
+        out[at] = np.frombuffer(mean.as_buffer(), np.float32).reshape(BLOCK, -1)[: len(out[at])]
+    return out
+
+
+def _tokens(batches, v: Vocabulary):
+    """(classes, one, two, start) of runs of texts."""
+    for batch in batches:
+        column = string_column(batch.column(0))
+        for a, b in steps(column, STEP):
+            distinct, codes, start = _occurrences(column, a, b)
+            classes = v.find(distinct)[0][codes]
+            yield (classes, *_contexts(classes, start, v.end_class), start)
+
+
+def neighbour_vectors(classes: np.ndarray, one: np.ndarray, start: np.ndarray, end: int, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct classes, their counts, sums of the sign vectors of both neighbours)."""
+    after = np.full(len(classes), end, np.int32)
+    after[:-1] = classes[1:]
+    after[start[1:] - 1] = end
+    order = np.argsort(classes, kind="stable")
+    half = (DIMS + 1) // 2
+    rows = np.concatenate([signs[one[order], :half], signs[after[order], half:]], 1)
+    at, sums = _summed(classes[order], rows)
+    return at, np.diff(np.append(np.flatnonzero(np.diff(classes[order], prepend=-1)), len(classes))), sums
+
+
+def grouped(texts: DataFrame, vocabulary: Vocabulary) -> Vocabulary:
+    """The vocabulary with its classes in an order by their neighbours: every neighbour adds a random sign vector of its own."""
+    words = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        v = words.value
+        signs = np.random.default_rng(17).choice(np.array([-1, 1], np.float32), (len(v.words) + 1, DIMS + 1))
+        count, sums = np.zeros(len(v.words) + 1), np.zeros((len(v.words) + 1, DIMS + 1), np.float32)
+        for classes, one, _, start in _tokens(batches, v):
+            at, n, own = neighbour_vectors(classes, one, start, v.end_class, signs)
+            count[at] += n
+            sums[at] += own
+        rows = np.flatnonzero(count)
+        if len(rows):
+            yield _blocks(rows, count[rows], sums[rows] / count[rows, None])
+
+    vectors = _means(texts.select("text"), run, len(vocabulary.words) + 1)[:-1]
+    return vocabulary.renumbered(like_neighbours(vectors))
+
+
 def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     """Trained in rounds on texts (key, text), each text in one round.
 
     In a round every task trains on about TASK_TOKENS tokens, dealt by key, from the same start; what the
     next round starts from are the rows' means over the tasks that met them. So the model depends on
-    neither files nor splits. The means, combined in tasks, are what comes to the driver: bounded by HELD_WORDS.
+    neither files nor splits.
     """
     model = LogBilinear(vocabulary.unigram)
     if model.n == 1 or not vocabulary.total:
@@ -245,36 +349,26 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     for turn in range(ROUNDS):
         box = context.broadcast(model)
 
-        def run(batches, box=box, rate=0.1 / (1 + turn)):
+        def run(batches, box=box, rate=RATE / (1 + turn)):
             v, m = words.value, box.value
             before = m.w
             m.w = before.copy()
 
             def stream():
-                for batch in batches:
-                    column = string_column(batch.column(0))
-                    for a, b in steps(column, STEP):
-                        distinct, codes, start = _occurrences(column, a, b)
-                        classes = v.find(distinct)[0][codes]
-                        one, two = _contexts(classes, start, v.end_class)
-                        order = np.random.default_rng(len(codes)).permutation(len(codes))
-                        for s in range(0, len(codes), BATCH):
-                            at = order[s : s + BATCH]
-                            yield classes[at], one[at], two[at]
+                for classes, one, two, _ in _tokens(batches, v):
+                    order = np.random.default_rng(len(classes)).permutation(len(classes))
+                    for s in range(0, len(classes), BATCH):
+                        at = order[s : s + BATCH]
+                        yield classes[at], one[at], two[at]
 
             met = m.train(stream(), rate)
             rows = np.flatnonzero(met)
             moved, m.w = m.w[rows] - before[rows], before  # the worker may run further tasks
             if len(rows):
-                block, places, n, d = zip(*_blocks(rows, met[rows], moved))
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *[pa.array(x, pa.binary()) for x in (places, n, d)]], ["block", "places", "met", "moved"])
+                yield _blocks(rows, met[rows], moved)
 
         own = texts.where(F.pmod("key", F.lit(ROUNDS)) == turn).repartition(parts, "key").sortWithinPartitions("key").select("text")
-        moved = own.mapInArrow(run, "block int, places binary, met binary, moved binary")
-        means = moved.repartition("block").mapInArrow(_averaged, "block int, mean binary").toArrow()
-        for block, mean in zip(means["block"].to_pylist(), means["mean"]):
-            at = slice(block * BLOCK, (block + 1) * BLOCK)
-            model.w[at] += np.frombuffer(mean.as_buffer(), np.float32).reshape(BLOCK, -1)[: len(model.w[at])]
+        model.w += _means(own, run, len(model.w))
         box.unpersist()
     return model
 
@@ -292,6 +386,8 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     learn = base.where("training").select("key", "text")
     counts = materialise(word_counts(learn.select("text")), "word_counts")
     vocabulary = Vocabulary.of(counts)
+    if len(vocabulary.words):
+        vocabulary = grouped(learn, vocabulary)
     model = train_model(learn, vocabulary)
     spark = docs.sparkSession
     box = spark.sparkContext.broadcast((vocabulary, model))

@@ -1,6 +1,5 @@
 """The numbered operators against plain Python on small tables with nulls, ties, repeats, clashing columns."""
 
-import hashlib
 import re
 import zlib
 
@@ -225,5 +224,24 @@ def test_language_model_has_a_class_for_every_word(spark):
     assert len(np.unique(models[0].w[:3001], axis=0)) == 3001
 
 
-def test_sha_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_language_model_beats_unigrams_on_held_out_texts(spark):
+    rng = np.random.default_rng(10)
+    follows = {w: rng.choice(WORDS, 4) for w in WORDS}
+
+    def walk():
+        out = [rng.choice(WORDS)]
+        while len(out) < 120:
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, walk()) for i in range(700)] + [(700, None), (701, "")]
+    got = score_texts(table(spark, rows), F.col("doc_id") < 600).where("doc_id >= 600 and doc_id < 700").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.s / got.n > got.b / got.n + 0.2
+
+
+def test_language_model_without_training_rows_or_texts(spark):
+    rows = [(1, "a b"), (2, None), (1, "a b")]
+    got = score_texts(table(spark, rows), F.lit(False)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0), (3, 0, 0), (1, 0, 0)]
+    assert all(r.base_score == 0 and np.isfinite(r.score) for r in got)
+    assert score_texts(table(spark, []), F.lit(True)).count() == 0
