@@ -10,13 +10,19 @@ def count(a: Column) -> Column:
     return F.when(a.isNotNull(), F.size(a))
 
 
+def _inside(a: Column, i: int, out: Column) -> Column:
+    """out where a has a place i, null for a null array; a place outside raises."""
+    inside = (F.lit(i) >= 0) & (F.lit(i) < F.size(a))
+    return F.when(a.isNull(), F.lit(None)).when(inside, out).otherwise(F.raise_error(F.lit("index out of range")))
+
+
 def item(a: Column, i: int) -> Column:
     """Element i; a place outside raises."""
-    return F.when(F.lit(i) < F.size(a), F.get(a, F.lit(i))).otherwise(F.raise_error(F.lit("index out of range")))
+    return _inside(a, i, F.get(a, F.lit(i)))
 
 
 def set_item(a: Column, i: int, v: Column) -> Column:
-    return F.transform(a, lambda x, at: F.when(at == i, v).otherwise(x))
+    return _inside(a, i, F.transform(a, lambda x, at: F.when(at == i, v).otherwise(x)))
 
 
 def add(a: Column, v: Column) -> Column:
@@ -44,7 +50,15 @@ def index_of(a: Column, v: Column) -> Column:
 
 def insert(a: Column, i: int, v: Column) -> Column:
     """v before element i, which must be there: nothing can be inserted at the end."""
-    return F.when(F.lit(i) < F.size(a), F.concat(F.slice(a, 1, i), F.array(v), F.slice(a, F.lit(i + 1), F.size(a)))).otherwise(F.raise_error(F.lit("index out of range")))
+    return _inside(a, i, F.concat(F.slice(a, 1, max(i, 0)), F.array(v), F.slice(a, F.lit(max(i, 0) + 1), F.size(a))))
+
+
+def insert_reference(a: Column, i: int, v: Column) -> Column:
+    """v before element i or at the end of an array of references, which holds no null."""
+    some = F.when(v.isNull(), F.raise_error(F.lit("null reference"))).otherwise(v)
+    inside = (F.lit(i) >= 0) & (F.lit(i) <= F.size(a))
+    out = F.concat(F.slice(a, 1, max(i, 0)), F.array(some), F.slice(a, F.lit(max(i, 0) + 1), F.greatest(F.size(a), F.lit(1))))
+    return F.when(a.isNull(), F.lit(None)).when(inside, out).otherwise(F.raise_error(F.lit("index out of range")))
 
 
 def _without(a: Column, i: Column) -> Column:
@@ -57,7 +71,7 @@ def remove(a: Column, v: Column) -> Column:
 
 
 def remove_at(a: Column, i: int) -> Column:
-    return F.when(F.lit(i) < F.size(a), _without(a, F.lit(i))).otherwise(F.raise_error(F.lit("index out of range")))
+    return _inside(a, i, _without(a, F.lit(i)))
 
 
 def last(a: Column) -> Column:

@@ -45,8 +45,8 @@ def exists(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 
 def get_many(rows: DataFrame, ids: Sequence[int], id_col: str = "id") -> DataFrame:
     """Objects in the order of ids as column pos; repeated ids come repeatedly, absent ones not at all."""
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"pos int, {id_col} bigint")
+    listed = F.split(F.lit(",".join(map(str, ids))), ",")  # one literal, split in the JVM
+    wanted = rows.sparkSession.range(1 if ids else 0).select(F.posexplode(listed).alias("pos", "k")).select("pos", F.col("k").cast("bigint").alias(id_col))
     return rows.join(F.broadcast(wanted) if len(ids) <= 1_000_000 else wanted, id_col)
 
 
@@ -68,8 +68,10 @@ def find_batch(rows: DataFrame, index: Index, wanted: DataFrame) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, index: Index) -> DataFrame:
-    """Keys held more than once, with their count: violations of a unique index. Nulls collide."""
-    return rows.groupBy(*[k for k, _ in index.keys]).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys held more than once, with their count n (times, if a key is called n): violations of a unique index. Nulls collide."""
+    names = [k for k, _ in index.keys]
+    count = "times" if "n" in names else "n"
+    return rows.groupBy(*names).agg(F.count("*").alias(count)).where(f"{count} > 1")
 
 
 def index_range(rows: DataFrame, index: Index, low: Sequence[Any] = (), low_open: bool = False, high: Sequence[Any] = (), high_open: bool = False, backward: bool = False, id_col: str = "id") -> DataFrame:
@@ -86,6 +88,11 @@ def index_range(rows: DataFrame, index: Index, low: Sequence[Any] = (), low_open
     return out.orderBy(*keys.order(index, backward, id_col))
 
 
+def equal_prefix(rows: DataFrame, index: Index, values: Sequence[Any], backward: bool = False, id_col: str = "id") -> DataFrame:
+    """Rows with a prefix of a sorted index's keys, in index order or backward."""
+    return index_range(rows, index, low=values, high=values, backward=backward, id_col=id_col)
+
+
 def before(rows: DataFrame, index: Index, values: Sequence[Any], or_equal: bool = False, **how) -> DataFrame:
     return index_range(rows, index, high=values, high_open=not or_equal, **how)
 

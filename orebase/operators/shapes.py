@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .integrity import DataError, orphans, with_new_ids
+
 
 def scalars(rows: DataFrame, wanted: list[str], ignored: tuple[str, ...] = ()) -> DataFrame:
     """The columns that both sides have, without ignored ones."""
@@ -16,6 +18,20 @@ def reference_ids(rows: DataFrame, refs: dict[str, str]) -> DataFrame:
     return rows.select(*[F.coalesce(c, F.lit(0)).alias(refs[c]) if c in refs else F.col(c) for c in rows.columns])
 
 
+def references_from_ids(rows: DataFrame, refs: dict[str, str], targets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """The way back: id columns under their references' names, 0 as null; an id that its target (rows, id column) lacks is an error."""
+    out = rows.select(*[F.when(F.col(c) != 0, F.col(c)).alias(refs[c]) if c in refs else F.col(c) for c in rows.columns])
+    for ref, (target, target_id) in targets.items():
+        if not (bad := orphans(out, ref, target, target_id)).isEmpty():
+            raise DataError("unknown_id", bad)
+    return out
+
+
+def inserted(rows: DataFrame, top: int, id_col: str = "id") -> DataFrame:
+    """Transfer rows as new objects: their ids are ignored, new ones follow top."""
+    return with_new_ids(rows.drop(id_col), top, id_col).select(*rows.columns)
+
+
 def nested(rows: DataFrame, ref: str, selected: DataFrame, selected_id: str, fields: list[str], name: str) -> DataFrame:
     """rows with the referenced object as a struct where it is among the selected, else null."""
     objects = selected.select(F.col(selected_id).alias("__id"), F.struct(*fields).alias(name))

@@ -17,5 +17,12 @@ def class_number(id_: Column) -> Column:
     return (F.shiftrightunsigned(id_, COUNTER_BITS) + LEAST_CLASS).cast("int")
 
 
+def reserve(top: int, count: int) -> range:
+    """The next `count` counters after the highest one given out; its stop less 1 is the new highest."""
+    if top + count >= 1 << COUNTER_BITS:
+        raise OverflowError("no ids left in the class")
+    return range(top + 1, top + 1 + count)
+
+
 def counter(id_: Column) -> Column:
     return id_.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1))

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .model import Index, ModelError
+from .model import Index, Model, ModelError
 
 
 def _key(index: Index, name: str) -> Column:
@@ -65,6 +65,18 @@ def order(index: Index, backward: bool = False, id_col: str = "id") -> list[Colu
     return [*out, F.col(id_col).desc() if backward else F.col(id_col).asc()]
 
 
+def index_by_name(model: Model, class_name: str, name: str, kinds: Sequence[str]) -> Index:
+    """The index of a class, its own or inherited; kinds are the key types that the caller will give."""
+    index = model.indexes(class_name).get(name)
+    if index is None:
+        raise ModelError("unknown_index", f"{class_name}.{name}")
+    properties = model.properties(class_name)
+    have = [getattr(properties[key], "kind", "long") for key, _ in index.keys]  # a reference is a long
+    if have != list(kinds):
+        raise ModelError("key_types", f"{name} has keys {have}, {list(kinds)} given")
+    return index
+
+
 def check_arity(index: Index, values: Sequence[Any], exact: bool = False) -> None:
     if not 1 <= len(values) <= len(index.keys) or exact and len(values) != len(index.keys):
         raise ModelError("key_arity", f"{index.name} has {len(index.keys)} keys, {len(values)} given")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import arrays, vectors
 from .operators import integrity, lookup, navigate, shapes
+from .plans import keys
 from .plans.evolution import migrate
 from .plans.model import CASCADE, MANY, ONE, OPTIONAL, PREVENT, SET_NULL, ClassDef, Index, Model, Property, Reference
-from .sources.store import changes, visible
+from .sources.store import Log, Transaction, changes, conflicts, visible
 
 PARTY = ("name", "nation", "acctbal")
 
@@ -169,7 +170,27 @@ for _lo in (False, True):
 
 @query("SELECT * FROM orders WHERE o_orderstatus = 'P'")
 def range_equal_prefix(spark, d):
-    return lookup.find(table(spark, d, "orders"), BY_STATUS, ("P",))
+    return lookup.equal_prefix(table(spark, d, "orders"), BY_STATUS, ("P",), id_col="o_orderkey")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS rn, o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' QUALIFY rn <= 10")
+def range_prefix_backward_top10(spark, d):
+    return _ranked(lookup.equal_prefix(table(spark, d, "orders"), BY_STATUS, ("P",), backward=True, id_col="o_orderkey"), F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderdate = (SELECT min(o_orderdate) FROM orders WHERE o_orderstatus = 'F')")
+def index_by_name(spark, d):
+    model = Model.of(ClassDef("Order", (Property("o_orderstatus", "string"), Property("o_orderdate", "datetime")), indexes=(BY_STATUS,)))
+    orders = table(spark, d, "orders")
+    first = orders.where("o_orderstatus = 'F'").agg(F.min("o_orderdate")).first()[0]
+    return lookup.find(orders, keys.index_by_name(model, "Order", "by_status", ("string", "datetime")), ("F", first))
+
+
+@query("SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nation HAVING count(*) > 1")
+def hierarchy_dup_check(spark, d):
+    parts = parties(spark, d)
+    rows = lookup.polymorphic_scan({c: parts[c] for c in MODEL.concrete("Party")}, ("id", *PARTY))
+    return lookup.duplicates(rows, Index("by_nation", (("nation", True),), unique=True))
 
 
 @query(f"SELECT * FROM orders WHERE o_orderdate > {_DAY}")
@@ -236,6 +257,49 @@ def inverse_empty(spark, d):
     return navigate.inverse_count(table(spark, d, "customer"), "c_custkey", some, "o_custkey").where("n = 0").select("c_custkey")
 
 
+@query("SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey + o_orderkey % 2 AS o_orderkey FROM orders) JOIN orders USING (o_orderkey) WHERE o_custkey = c_custkey GROUP BY ALL")
+def inverse_contains(spark, d):
+    orders = table(spark, d, "orders")
+    pairs = orders.select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("o_orderkey")).distinct()
+    return navigate.inverse_contains(table(spark, d, "customer"), "c_custkey", orders, "o_custkey", "o_orderkey", pairs)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE o_custkey END AS o_custkey FROM orders")
+def inverse_add(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return navigate.add_to_inverse(orders, "o_orderkey", "o_custkey", orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit(1).cast("bigint").alias("target")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 1 OR o_orderkey % 2 = 1 THEN o_custkey END AS o_custkey FROM orders")
+def inverse_remove(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    pairs = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 1, F.col("o_custkey")).otherwise(-1).alias("target"))
+    return navigate.remove_from_inverse(orders, "o_orderkey", "o_custkey", pairs)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders")
+def inverse_clear(spark, d):
+    return navigate.clear_inverse(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, d, "customer").where("c_acctbal < 0"), "c_custkey")
+
+
+@query(
+    "WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT DISTINCT c_custkey, c_nationkey FROM o JOIN customer ON c_custkey = o_custkey), n AS (SELECT DISTINCT n_nationkey, n_regionkey FROM c JOIN nation ON n_nationkey = c_nationkey) "
+    "SELECT 'Order' AS kind, o_orderkey AS id, 0 AS hops FROM o UNION ALL SELECT 'Customer', c_custkey, 1 FROM c UNION ALL SELECT 'Nation', n_nationkey, 2 FROM n UNION ALL SELECT DISTINCT 'Region', n_regionkey, 3 FROM n"
+)
+def object_graph(spark, d):
+    orders, customers, nations = (table(spark, d, n) for n in ("orders", "customer", "nation"))
+    refs = [
+        ("Order", "customer", "Customer", orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))),
+        ("Customer", "nation", "Nation", customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))),
+        ("Nation", "region", "Region", nations.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))),
+    ]
+    return _by_kind(navigate.object_graph({"Order": orders.where("o_orderstatus = 'P'").select("o_orderkey")}, refs, 3), "hops")
+
+
+def _by_kind(parts: dict[str, DataFrame], *columns: str) -> DataFrame:
+    return reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), F.col("id").cast("bigint").alias("id"), *columns) for kind, df in parts.items()])
+
+
 def order_parts(spark, d) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     return lines.select(F.col("l_orderkey").alias("id"), F.transform("x", lambda s: s["l_partkey"]).alias("parts"))
@@ -258,23 +322,15 @@ def nested_fetch_flat(spark, d):
     return asked.join(sets, "c_custkey").select("pos", "c_custkey", F.explode("orders").alias("o")).select("pos", "c_custkey", "o.o_orderkey")
 
 
-def _shared_parts(spark, d) -> DataFrame:
-    """Customers linked through a part that both ordered in one month: each goes to the month's smallest buyer of the part, and back."""
-    orders = table(spark, d, "orders").where("o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'")
-    buys = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    least = buys.groupBy("l_partkey").agg(F.min("o_custkey").alias("least"))
-    return navigate.both_ways(buys.join(least, "l_partkey").where("o_custkey <> least"), "o_custkey", "least").distinct()
-
-
-_EDGES = """b AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'),
-m AS (SELECT l_partkey, min(o_custkey) AS least FROM b GROUP BY l_partkey), h AS (SELECT o_custkey, least FROM b JOIN m USING (l_partkey) WHERE o_custkey <> least),
-e AS (SELECT o_custkey AS a, least AS b FROM h UNION SELECT least, o_custkey FROM h)"""
-
-
-@query(f"WITH RECURSIVE {_EDGES}, s AS (SELECT min(a) AS id FROM e), r AS (SELECT id, 0 AS hops FROM s UNION SELECT e.b, hops + 1 FROM r JOIN e ON e.a = r.id WHERE hops < 3) SELECT id, min(hops)::INT AS hops FROM r GROUP BY id HAVING min(hops) > 0")
+@query(
+    "WITH RECURSIVE b AS MATERIALIZED (SELECT DISTINCT o_custkey AS id, l_partkey AS via FROM orders JOIN lineitem ON o_orderkey = l_orderkey), s AS (SELECT min(id) AS id FROM b), "
+    "r AS (SELECT id, 0 AS hops FROM s UNION SELECT y.id, hops + 1 FROM r JOIN b x ON x.id = r.id JOIN b y ON y.via = x.via WHERE hops < 2) SELECT id, min(hops)::INT AS hops FROM r GROUP BY id HAVING min(hops) > 0"
+)
 def graph_depth_k(spark, d):
-    edges = navigate.reliable(_shared_parts(spark, d))
-    return navigate.reach(edges, edges.agg(F.min("a").alias("id")), 3)
+    """Customers within two hops of the first one, a hop leading to all who ever ordered a part in common."""
+    buys = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    buys = navigate.reliable(buys.select(F.col("o_custkey").alias("id"), F.col("l_partkey").alias("via")).distinct())
+    return navigate.reach_through(buys, buys.agg(F.min("id").alias("id")), 2)
 
 
 def trails(spark, d) -> DataFrame:
@@ -315,18 +371,14 @@ for _name, _sql in _VALUES.items():
     query(_VECTORS + f"SELECT a.vec_id, round({_sql}, 6) AS distance FROM v a, v b WHERE b.vec_id = 3", f"dist_{_name}")(partial(_distance, _name))
 
 
-@query(_VECTORS + "SELECT a.vec_id, round(list_distance(a.e, b.e), 6) AS distance FROM v a, v b WHERE b.vec_id = 0 ORDER BY list_distance(a.e, b.e), a.vec_id LIMIT 10")
-def knn_l2(spark, d):
+def _knn(k: int, distance: str, spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id = 0").first()["embedding"]
-    return vectors.nearest(v, "embedding", q, 10, "l2", "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return vectors.nearest_batch(v, "embedding", queries, k, distance, "vec_id").withColumn("distance", F.round("distance", 6) + 0)
 
 
-@query(_VECTORS + "SELECT b.vec_id AS qid, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(1 - list_cosine_similarity(a.e, b.e), 12), a.vec_id)::INT AS rank, a.vec_id AS id, round(1 - list_cosine_similarity(a.e, b.e), 6) + 0 AS distance FROM v a, v b WHERE b.vec_id < 10 QUALIFY rank <= 5")
-def knn_batch_cos(spark, d):
-    v = table(spark, d, "embeddings")
-    queries = v.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return vectors.nearest_batch(v, "embedding", queries, 5, "cosine", "vec_id").withColumn("distance", F.round("distance", 6) + 0)
+for _name, _k, _sql in (("knn_l2", 10, "list_distance(a.e, b.e)"), ("knn_batch_cos", 5, "1 - list_cosine_similarity(a.e, b.e)")):
+    query(_VECTORS + f"SELECT b.vec_id AS qid, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_sql}, 12), a.vec_id)::INT AS rank, a.vec_id AS id, round({_sql}, 6) + 0 AS distance FROM v a, v b WHERE b.vec_id % 20 = 0 QUALIFY rank <= {_k}", _name)(partial(_knn, _k, "l2" if _name == "knn_l2" else "cosine"))
 
 
 @query("SELECT label, pos::INT AS pos, round(avg(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
@@ -382,6 +434,33 @@ def log_diff(spark, d):
     return changes(user_log(spark, d), 10, 60)
 
 
+_LATER = "(SELECT DISTINCT id FROM l WHERE version > 40)"
+
+
+@query(_LOG + f"x AS {_AT.format(v=40)} SELECT id FROM {_LATER} WHERE id % 3 = 0 UNION SELECT id FROM x WHERE value > 60 AND id IN {_LATER} UNION SELECT id FROM l WHERE version > 40 AND NOT deleted AND value > 60")
+def conflict_rows(spark, d):
+    """What gets in the way of a transaction that read version 40, wrote a third of the ids and read a range of values."""
+    log = user_log(spark, d)
+    return conflicts(log, 40, log.where("id % 3 = 0").select("id"), F.col("value") > 60)
+
+
+@query(_LOG + f"x AS {_AT.format(v=45)} SELECT id, version, event_id, value FROM x")
+def snapshot_then_later_version(spark, d):
+    """A version after the one that the log was compacted to."""
+    return Log(user_log(spark, d)).compacted(30).at(45)
+
+
+@query("WITH a AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id) SELECT id, CASE WHEN id % 2 = 0 THEN n * 2 ELSE n END AS n FROM a WHERE id % 5 <> 0")
+def transaction_result(spark, d):
+    """Two writes of one transaction, seen together once it has committed."""
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n")).withColumns({"version": F.lit(1).cast("bigint"), "deleted": F.lit(False)})
+    log = Log(rows)
+    t = Transaction(log)
+    t.write(t.where(F.col("id") % 2 == 0).select("id", F.lit(False).alias("deleted"), (F.col("n") * 2).alias("n")))
+    t.write(t.scan().where("id % 5 = 0").select("id", F.lit(True).alias("deleted"), "n"))
+    return t.commit(log).at().select("id", "n")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def ref_orphans(spark, d):
     return integrity.orphans(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders").where("o_orderstatus <> 'P'"), "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -413,6 +492,65 @@ def cascade_closure(spark, d):
     return out
 
 
+_OBJECTS = Model.of(
+    ClassDef("Customer", (Property("name", "string"),)),
+    ClassDef("Order", (Reference("customer", "Customer", ONE, CASCADE),)),
+    ClassDef("Supplier", (Property("name", "string"),)),
+    ClassDef("Line", (Reference("order", "Order", ONE, CASCADE), Reference("supplier", "Supplier", OPTIONAL, SET_NULL))),
+)
+
+
+def _objects(spark, d) -> dict[str, DataFrame]:
+    return {
+        "Customer": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        "Order": table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")),
+        "Supplier": table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
+        "Line": table(spark, d, "lineitem").select(F.xxhash64(F.struct("*")).alias("id"), F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("supplier")),  # no two lines are equal
+    }
+
+
+@query(
+    "WITH o AS (SELECT * FROM orders WHERE o_custkey NOT IN (3, 5)), l AS (SELECT * FROM lineitem JOIN o ON l_orderkey = o_orderkey) SELECT 'Customer' AS kind, count(*) AS n, NULL::BIGINT AS linked FROM customer WHERE c_custkey NOT IN (3, 5) UNION ALL SELECT 'Order', count(*), NULL FROM o "
+    "UNION ALL SELECT 'Supplier', count(*), NULL FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT 'Line', count(*), count(*) FILTER (l_suppkey % 7 <> 0) FROM l"
+)
+def delete_objects(spark, d):
+    """Customers and suppliers deleted at once: orders and lines go with customers, lines lose their suppliers."""
+    tables = _objects(spark, d)
+    start = {"Customer": tables["Customer"].where("id in (3, 5)").select("id"), "Supplier": tables["Supplier"].where("id % 7 = 0").select("id")}
+    left = integrity.delete_objects(_OBJECTS, tables, start)
+    linked = lambda df: F.count("supplier") if "supplier" in df.columns else F.lit(None).cast("bigint")
+    return reduce(DataFrame.union, [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), linked(df).alias("linked")) for kind, df in left.items()])
+
+
+@query("SELECT 'unknown_reference' AS rule, 'Order' AS class, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'unknown_reference', 'Line', count(*) FROM lineitem WHERE l_suppkey % 7 = 0 HAVING count(*) > 0")
+def model_violations(spark, d):
+    tables = _objects(spark, d)
+    tables["Customer"] = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    tables["Supplier"] = tables["Supplier"].where("id % 7 <> 0")
+    found = integrity.violations(_OBJECTS, tables)
+    return reduce(DataFrame.union, [df.agg(F.lit(rule).alias("rule"), F.lit(name).alias("class"), F.count("*").alias("n")) for (rule, name, _), df in found.items()])
+
+
+@query("SELECT p_name AS name, p_size AS size, 5 AS capacity, NULL::VARCHAR AS brand FROM part")
+def create_with_defaults(spark, d):
+    model = Model.of(ClassDef("Part", (Property("name", "string"), Property("size", "int"), Property("capacity", "int", default=5), Property("brand", "string"))))
+    rows = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    return integrity.create(model, "Part", rows, 100).drop("id")
+
+
+@query("SELECT p_size, count(*) AS n FROM (SELECT p_size FROM part UNION ALL SELECT p_size FROM part WHERE p_partkey % 10 = 0) GROUP BY p_size")
+def bulk_copy(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    new = integrity.copies(part, part.where("id % 10 = 0").select("id"), 1 << 40)
+    return part.union(new).groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS id, nullif(nullif(o_custkey, 3), 0) AS customer FROM orders")
+def dto_back(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") == 3, 0).otherwise(F.col("o_custkey")).alias("customerId"))
+    return shapes.references_from_ids(orders, {"customerId": "customer"}, {"customer": (table(spark, d, "customer"), "c_custkey")})
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS l_suppkey FROM lineitem")
 def set_null_result(spark, d):
     dead = table(spark, d, "supplier").where("s_suppkey % 7 = 0")

@@ -1,14 +1,15 @@
-"""A versioned store: change logs and snapshots as Parquet, published by a manifest.
+"""Change logs: rows with the version that wrote them, as plain Parquet in a folder per version.
 
-One writer commits; readers pin a version. A commit writes its change rows, then its manifest; a
-version without a manifest does not exist for readers.
+A log has the columns id, version and deleted besides the data. What is seen at a version, what changed between
+two, and whether a change set meets later changes are all DataFrame questions about it. A version counts
+once Spark has marked its folder as complete.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,10 @@ class Conflict(RuntimeError):
     """A commit that meets rows written after the version its transaction read; may be tried again."""
 
 
+class Closed(RuntimeError):
+    """A write through a reading transaction, or any use of one that has ended."""
+
+
 def visible(log: DataFrame, version: int | None = None, id_col: str = "id") -> DataFrame:
     """Each id's newest row up to a version, without those whose newest row is a deletion.
 
@@ -36,53 +41,116 @@ def changes(log: DataFrame, low: int, high: int, id_col: str = "id") -> DataFram
     return both.select(id_col, change.alias("change")).where("change is not null")
 
 
-class Store:
-    """Tables of objects under one folder that all executors share."""
+def conflicts(log: DataFrame, read_version: int, ids: DataFrame | None = None, where: Column | None = None, id_col: str = "id") -> DataFrame:
+    """Ids written after read_version, deletions too, that a transaction wrote or read: those in `ids`, or those whose
+    row before or after meets the condition `where` (a key, a range of keys, or true for a whole class)."""
+    later = log.where(F.col("version") > read_version)
+    met = None
+    if ids is not None:
+        met = later.join(ids.select(id_col).distinct(), id_col, "left_semi").select(id_col)
+    if where is not None:
+        before = visible(log, read_version, id_col).where(where).join(later.select(id_col).distinct(), id_col, "left_semi").select(id_col)
+        both = before.union(later.where(~F.col("deleted")).where(where).select(id_col))
+        met = both if met is None else met.union(both)
+    return met.distinct()
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+@dataclass(frozen=True)
+class Log:
+    """A class's log; reads below `base` are no longer possible."""
 
-    def _manifests(self) -> list:
-        try:
-            return self.spark.read.schema("version bigint, kind string, class string, base bigint").json(f"{self.path}/manifest").collect()  # one row per commit and class
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
+    rows: DataFrame
+    base: int = 0
 
     def version(self) -> int:
-        return max((r.version for r in self._manifests()), default=0)
-
-    def commit(self, parts: dict[str, DataFrame], read_version: int | None = None) -> int:
-        """Publish change rows (id, deleted, columns...) of several classes as the next version."""
-        now = self.version()
-        if read_version is not None and read_version < now:
-            for name, df in parts.items():
-                later = self.log(name)
-                if later is not None and not later.where(F.col("version") > read_version).join(df.select("id"), "id", "left_semi").isEmpty():
-                    raise Conflict(name)
-        for name, df in parts.items():
-            df.withColumn("version", F.lit(now + 1).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/log/{name}/{now + 1}")
-        entries = [(now + 1, "log", name, 0) for name in parts]
-        self.spark.createDataFrame(entries, "version bigint, kind string, class string, base bigint").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        return now + 1
-
-    def log(self, name: str) -> DataFrame | None:
-        """Change rows of a class since its newest snapshot, and the snapshot's rows."""
-        found = [r for r in self._manifests() if r["class"] == name]
-        base = max((r.version for r in found if r.kind == "snapshot"), default=0)
-        paths = [f"{self.path}/snapshot/{name}/{base}"] if base else []
-        paths += [f"{self.path}/log/{name}/{r.version}" for r in found if r.kind == "log" and r.version > base]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(self.spark.read.parquet, paths)) if paths else None
-
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        log = self.log(name)
-        return None if log is None else visible(log, version)
-
-    def snapshot(self, name: str) -> None:
-        """Write what is visible now; older versions and deletions are no longer read."""
-        now = self.version()
-        rows = self.read(name)
-        if rows is not None:
-            rows.withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/snapshot/{name}/{now}")
-            self.spark.createDataFrame([(now, "snapshot", name, now)], "version bigint, kind string, class string, base bigint").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        return self.rows.agg(F.max("version")).first()[0] or self.base
+
+    def at(self, version: int | None = None) -> DataFrame:
+        if version is not None and version < self.base:
+            raise ValueError(f"version {version} is before {self.base}, from which on the log is kept")
+        return visible(self.rows, version)
+
+    def appended(self, changed: DataFrame, version: int) -> Log:
+        """With change rows (id, deleted, columns...) as a version; columns that they lack are null."""
+        return replace(self, rows=self.rows.unionByName(changed.withColumn("version", F.lit(version).cast("bigint")), allowMissingColumns=True))
+
+    def compacted(self, version: int) -> Log:
+        """Without what no reader from `version` on sees: one row an id up to it, and everything later, deletions too."""
+        kept = self.at(version).withColumn("deleted", F.lit(False))
+        return Log(kept.unionByName(self.rows.where(F.col("version") > version)), version)
+
+
+@dataclass
+class Transaction:
+    """Reads one version of a log, collects change rows, and commits them if nothing it read or wrote has changed since."""
+
+    log: Log
+    writes: bool = True
+    started: int = field(init=False)
+    changed: DataFrame | None = None
+    read_ids: DataFrame | None = None
+    read_where: Column | None = None
+    open: bool = True
+
+    def __post_init__(self) -> None:
+        self.started = self.log.version()
+
+    def _check(self, writing: bool = False) -> None:
+        if not self.open or writing and not self.writes:
+            raise Closed("the transaction has ended" if not self.open else "a reading transaction can't write")
+
+    def _now(self) -> DataFrame:
+        """The version read, with the transaction's own changes."""
+        return visible(self.log.appended(self.changed, self.started + 1).rows, self.started + 1) if self.changed is not None else self.log.at(self.started)
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        self._check()
+        ids = ids.select("id")
+        self.read_ids = ids if self.read_ids is None else self.read_ids.union(ids)
+        return self._now().join(ids.distinct(), "id", "left_semi")
+
+    def where(self, condition: Column) -> DataFrame:
+        self._check()
+        self.read_where = condition if self.read_where is None else self.read_where | condition
+        return self._now().where(condition)
+
+    def scan(self) -> DataFrame:
+        return self.where(F.lit(True))
+
+    def write(self, changed: DataFrame) -> None:
+        """Change rows (id, deleted, columns...), visible to own reads at once; the last write of an id counts."""
+        self._check(writing=True)
+        if self.changed is not None:
+            changed = self.changed.join(changed, "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+        self.changed = changed
+
+    def rollback(self) -> None:
+        self.open, self.changed = False, None
+
+    def commit(self, now: Log) -> Log:
+        """The log with the changes as its next version; Conflict, and nothing written, if `now` has rows that get in the way."""
+        self._check()
+        self.open = False
+        ids = [df.select("id") for df in (self.changed, self.read_ids) if df is not None]
+        ids = ids[0].union(ids[1]) if len(ids) == 2 else ids[0] if ids else None
+        if self.changed is None:  # what it read was one version
+            return now
+        if not conflicts(now.rows, self.started, ids, self.read_where).isEmpty():
+            raise Conflict(f"changed since version {self.started}")
+        return now.appended(self.changed, now.version() + 1)
+
+
+def write_version(changed: DataFrame, path: str, version: int) -> None:
+    """Change rows of one version as plain Parquet; a version that is there already is an error."""
+    changed.drop("version").write.mode("error").parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The complete versions under path, or None without any."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
+    done = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)  # one entry a version
+    folders = [str(s.getPath().getParent()) for s in done or []]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*folders)
+    return rows.withColumn("version", F.col("version").cast("bigint"))
