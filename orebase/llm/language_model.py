@@ -32,7 +32,7 @@ BATCH, PRODUCT = 1 << 10, 1 << 10
 #: Noise groups for the tokens of a step, and noise classes for those of a group.
 NOISE_GROUPS, NOISE_CLASSES = 24, 4
 #: Adagrad's rate of the first round.
-RATE = 0.12
+RATE = 0.1
 #: Averaged rounds, each over its own share of the texts, and the tokens that one task learns from in a round.
 ROUNDS, TASK_TOKENS = 3, 1 << 21
 #: Parameter rows that tasks send together.
@@ -126,6 +126,11 @@ def _contexts(classes: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndar
     return one, two
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0; those of 16 bits are sorted by digits."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+
+
 def like_neighbours(vectors: np.ndarray) -> np.ndarray:
     """An order of rows in which like ones stand together: halves along the axis of most variance, and so on within halves."""
     out, open_ = [], [np.arange(len(vectors))]
@@ -178,7 +183,7 @@ class LogBilinear:
 
     def logs(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The natural log of each class's probability after its context."""
-        out, order = np.zeros(len(word)), np.argsort(word, kind="stable")
+        out, order = np.zeros(len(word)), _in_order(word)
         all_groups, all_classes = np.ascontiguousarray(self.w[self.groups].T), self.w[self.classes]
         ones = np.ones(max(all_groups.shape[1], int(np.diff(self.bounds).max())), np.float32)
         far = np.sqrt(max((self.w[self.groups] ** 2).sum(1).max(), (all_classes**2).sum(1).max()))
@@ -214,7 +219,7 @@ class LogBilinear:
         drawn_groups = iter(())
 
         for word, one, two in stream:
-            order = np.argsort(word, kind="stable")
+            order = _in_order(word)
             word, one, two = word[order], one[order], two[order]
             g = self.group[word]
             r1, r2, h = self._predicted(one, two)
@@ -306,7 +311,7 @@ def neighbour_vectors(classes: np.ndarray, one: np.ndarray, start: np.ndarray, e
     after = np.full(len(classes), end, np.int32)
     after[:-1] = classes[1:]
     after[start[1:] - 1] = end
-    order = np.argsort(classes, kind="stable")
+    order = _in_order(classes)
     half = (DIMS + 1) // 2
     rows = np.concatenate([signs[one[order], :half], signs[after[order], half:]], 1)
     at, sums = _summed(classes[order], rows)
