@@ -30,7 +30,7 @@ from .components import components
 #: Rows of three numbers that a join may broadcast: 12 MB.
 BROADCAST_ROWS = 500_000
 #: Members of a posting list that one task compares at once.
-BLOCK = 512
+BLOCK = 1024
 #: Members of a posting list that are paired in a join.
 SHORT = 16
 
@@ -125,18 +125,20 @@ def _blocked(mixed: DataFrame) -> DataFrame:
     """Members of long lists once per pair of blocks (lo, hi) that they are compared in.
 
     A list's largest component is one side, all others the other. Blocks of others meet each other and
-    those of the largest component, which never meet among themselves: they are joined already. So a list
-    with few strangers sends each member of its largest component once.
+    those of the largest component, which never meet among themselves: they are joined already. A block of others is compared
+    with itself where it meets the first block of the largest component. So a list with few strangers sends each member once.
     """
     long = mixed.where(f"size > {SHORT}")
     sizes = long.groupBy("coord", "val", "g").agg(F.count("*").alias("own"))
     largest = sizes.groupBy("coord", "val").agg(F.max(F.struct("own", "g")).alias("top")).select("coord", "val", F.col("top.g").alias("main"), F.col("top.own").alias("most"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    long = long.join(largest, ["coord", "val"]).withColumns({"mains": blocks(F.col("most")), "others": blocks(F.col("size") - F.col("most"))})
+    rest = F.col("size") - F.col("most")
+    # The fewer the others, the larger a block of the largest component can be.
+    mains = F.ceil(F.greatest(F.col("most") * F.least(rest, F.lit(BLOCK)) / F.lit(BLOCK * BLOCK), F.col("most") / F.lit(2 * BLOCK))).cast("int")
+    long = long.join(largest, ["coord", "val"]).withColumns({"mains": mains, "others": F.ceil(rest / F.lit(BLOCK)).cast("int")})
     in_main = F.col("g") == F.col("main")
     # Blocks of others count from 0, those of the largest component from -1 downwards.
     block = F.when(in_main, -1 - F.pmod(F.xxhash64("c"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("c"), F.col("others"))).cast("int")
-    partners = F.when(in_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    partners = F.when(in_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.filter(F.sequence(-F.col("mains"), F.col("others") - 1), lambda p: p != F.col("block")))
     long = long.withColumn("block", block).withColumn("partner", F.explode(partners))
     return long.select("coord", "val", "c", "n", "g", "block", F.least("block", "partner").alias("lo"), F.greatest("block", "partner").alias("hi"))
 
@@ -144,7 +146,7 @@ def _blocked(mixed: DataFrame) -> DataFrame:
 def _long_links(mixed: DataFrame, own: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int, matches: int, coordinates: int) -> DataFrame:
     """Links (a, b) that join what the members of long lists can be joined to, found block against block.
 
-    A block holds about BLOCK members. Pairs are counted on whole signatures and confirmed on
+    A block holds about BLOCK members, of the largest component up to twice as many. Pairs are counted on whole signatures and confirmed on
     whole texts inside the task; a pair whose ends are joined already is passed over.
     """
     long = _blocked(mixed)
@@ -155,8 +157,8 @@ def _long_links(mixed: DataFrame, own: DataFrame, sets: DataFrame, texts: DataFr
     long = long.join(facts, "c")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = pdf[pdf.block == pdf.lo]
-        hi = lo if pdf.lo.iat[0] == pdf.hi.iat[0] else pdf[pdf.block == pdf.hi]
+        hi = pdf[pdf.block == pdf.hi]
+        lo = pdf if pdf.lo.iat[0] == -1 else pdf[pdf.block == pdf.lo]
         if not len(lo) or not len(hi):
             return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
         x, y, counts = np.stack(lo.sig.to_numpy()), np.stack(hi.sig.to_numpy()), np.stack(lo["counts"].to_numpy()).astype(np.int64)

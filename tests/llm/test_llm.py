@@ -70,6 +70,71 @@ def test_minhash_equals_brute_force(spark):
     assert near_duplicates(table(spark, []), 3, 85).count() == 0
 
 
+def brute_components(rows, k, percent):
+    """Components of ids; an id's rows tie their texts together."""
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    s = [(i, shingles(t)) for i, t in rows]
+    return groups({i for i, _ in rows}, [(i, j) for i, x in s for j, y in s if i != j and x and y and 100 * len(x & y) >= percent * len(x | y)])
+
+
+def test_minhash_keeps_links_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(12)
+    a, b, c = texts(rng, 3)
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (1, c), (2, near(b)), (3, near(a)), (4, near(c)), (5, None), (5, a), (6, b)]
+    want = brute_components(rows, 3, 85)
+    for parts in range(1, 4):
+        got = near_duplicates(table(spark, rows).repartition(parts), 3, 85).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == set(want.items()) == {(i, 1) for i in range(1, 7)}
+
+
+def test_minhash_long_lists_with_strangers(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr("orebase.llm.minhash.BLOCK", 16)
+    base = texts(rng, 1, 80)[0].split()
+    rows = []
+    for i in range(300):  # all near one text, few near each other
+        w = list(base)
+        for j in rng.integers(0, 80, rng.integers(1, 5)):
+            w[j] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), 3, 85).collect()}
+    assert got == want
+    exact = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows[:60]), 3, 85, matches=1).collect()}
+    assert exact == brute_components(rows[:60], 3, 85)
+
+
+def test_columns_named_like_results_and_inner_ones(spark):
+    rows = [(i, t) for i, t in enumerate(texts(np.random.default_rng(14), 12, 30))] + [(50, None), (51, "")]
+    names = ("score", "y", "id", "key", "n", "t", "n_lines", "n_dropped", "kept_text", "n_words", "n_hit", "items", "spans", "contaminated", "n_bytes", "n_tokens", "drops", "lines", "kept", "in0", "label", "f", "row", "sig")
+    df = table(spark, rows, False).withColumns({c: F.lit("mine") for c in names})
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(12)], "doc_id bigint, toxic int").withColumn("y", F.lit(3))
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id bigint, text string")
+    found = {
+        "toxicity": (toxicity.toxicity(df, toxicity.train(df, labels, "toxic", F.lit(True))), {"score"}),
+        "quality": (quality.quality(df, quality.train(df, labels, "toxic", F.lit(True))), {"score"}),
+        "lines": (dedup_lines(df), {"n_lines", "n_dropped", "kept_text"}),
+        "contamination": (contamination(df, bench), {"n_words", "n_hit", "items", "spans", "contaminated"}),
+    }
+    try:
+        import public_tokenizers as P
+
+        found["tokens"] = (token_counts(df, P.path("byte_bpe_50k.json")), {"n_bytes", "n_tokens"})
+    except ImportError:
+        pass
+    for name, (out, results) in found.items():
+        assert sorted(out.columns) == sorted({"doc_id", "text", *names} | results), name
+        got = out.collect()
+        assert len(got) == len(rows) and all(r[c] == "mine" for r in got for c in set(names) - results), name
+    for out in (near_duplicates(df), score_texts(df, F.lit(True)), secret_spans(df)):
+        assert out.count() == len(rows)
+
+
 def test_line_dedup(spark):
     line = "a line that is certainly longer than forty characters"
     rows = [(i, f"own {i}\n {line.upper() if i % 2 else line}\t\nshort") for i in range(6)] + [(10, None), (11, ""), (12, line * 2)]
@@ -164,7 +229,7 @@ def test_vectors_equal_brute_force(spark):
     g = u @ u.T >= 0.95
     pairs = [(i, j) for i in range(len(v)) for j in range(i) if g[i, j]]
     want = groups([r[0] for r in rows], pairs)
-    for tile in (6144, 8):
+    for tile in (6144, 8):  # one tile, and tiles that links cross
         got = {r.vec_id: r for r in near_vectors(df, 0.95, tile=tile).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert all(got[i].n_links == g[i].sum() - 1 for i in range(len(v))) and got[100].n_links == 0
@@ -181,6 +246,33 @@ def test_secrets(spark):
     assert got[3][1] == "identifier:0:15,endpoint:34:53"
 
 
+def test_secrets_equal_brute_force(spark):
+    rng = np.random.default_rng(15)
+    bits = ["login=someone", "client_id=abcd", "AKIA0123456789AB", "secret=abcdefgh1", "token: short", "0f" * 16, "aB3+" * 11, "https://h.example/x", "mysql://u:" + "0a" * 16 + "@h", "😀", "plain words here"]
+    rows = [(i, "".join(str(rng.choice(bits)) + " " * int(rng.choice([1, 5, 120])) for _ in range(rng.integers(0, 14)))) for i in range(80)] + [(90, None), (3, ""), (3, "")]
+    key = r"[\"']?\x20*[:=]\x20*[\"']?"
+    patterns = [
+        ("assign", "secret", rf"(?i:password|passwd|secret|token|api_?key){key}([A-Za-z0-9+/_.=-]+)"), ("access", "identifier", "AKIA[A-Z0-9]{12,}"), ("hex", "secret", "[0-9a-f]{32,}"),
+        ("identifier", "identifier", rf"(?i:client_?id|access_?key_?id|key_?id|user_?name|login){key}[A-Za-z0-9_.@-]{{4,}}"), ("long_key", "secret", "[A-Za-z0-9+/]{40,}={0,2}"),
+        ("endpoint", "endpoint", r"(?i:https?|wss?|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s\"'<>|]+"),
+    ]
+
+    def linked(t):
+        every = [(m.start(), m.end(), k, role) for k, role, p in patterns for m in re.finditer(p, t or "") if k != "assign" or len(m[1]) >= 8]
+        out = set()
+        for a, b, k, role in every:
+            if role == "secret":
+                continue
+            near = [x for x in every if x[3] != "identifier" and x[0] < b + 300 and x[1] > max(0, a - 300) and (role == "identifier" or x[3] == "secret" and (x[0] >= b or x[1] <= a))]
+            if any(x[3] == "secret" for x in near):
+                out |= {(a, b, k), *[x[:3] for x in near]}
+        return sorted(f"{k}:{a}:{b}" for a, b, k in out if k in ("identifier", "long_key", "endpoint"))
+
+    got = secret_spans(table(spark, rows)).select("doc_id", span_text(F.col("weak")).alias("w")).collect()
+    want = sorted((i, linked(t)) for i, t in rows)
+    assert sorted((r.doc_id, sorted(filter(None, r.w.split(",")))) for r in got) == want
+
+
 def test_secrets_of_hex_and_endpoints(spark):
     hex32, far = "0123456789abcdef" * 2, "- " * 200
     rows = [(1, f"client_id=abcd https://host/x {hex32}"), (2, f"https://host/x {hex32}"), (3, f"https://host/{hex32}"), (4, f"https://host/x {far}{hex32}")]
