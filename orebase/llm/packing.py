@@ -18,10 +18,10 @@ from .common import materialise, only, steps, string_column
 
 #: Pieces that one task packs; a group's last open sequences are what it can waste.
 GROUP = 40_000
-#: Chunks of text whose ids a worker keeps, of at most so many bytes each: 110 MB.
-MOST_CHUNKS, CHUNK_BYTES = 500_000, 48
+#: Chunks of text whose ids a worker keeps, of at most so many bytes each: 70 MB.
+MOST_CHUNKS, CHUNK_BYTES = 300_000, 48
 #: Text bytes per step.
-STEP = 16 << 20
+STEP = 8 << 20
 
 
 class ChunkEncoder:
