@@ -102,6 +102,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(both).alias("spans"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_secrets that SQL can express."""
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
+def word_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_language_model that SQL can express; sums of logarithms to four decimals."""
+    return op10_language_model(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP1_SQL = rf"""
@@ -159,5 +169,49 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
 FROM v JOIN r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id"""
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_embeddings": op7_embeddings, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets, "op10_language_model": op10_language_model}
-ORACLE_SQL = {"op1_minhash": _OP1_SQL, "op3_line_dedup": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op7_embeddings": _OP7_SQL}
+def _either(word: str) -> str:
+    """A pattern for the word in either case, of ASCII letters only."""
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+_NAMES = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + f"|{_either('api')}_?{_either('key')}"
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(order: int, name: str, pattern: str, group: int) -> str:
+    return f"""SELECT doc_id, {order} AS o, '{name}' AS kind, regexp_extract_all(x, '{pattern}') AS m, regexp_extract_all(x, '{pattern}', {group}) AS v,
+    string_split_regex(x, '{pattern}') AS g FROM t WHERE regexp_matches(x, '{pattern}')"""
+
+
+_SECRETS_SQL = rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k AS MATERIALIZED ({_matches(0, "assign", _ASSIGN, 2)}
+  UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]{12,}", 0)}
+  UNION ALL {_matches(2, "hex", "[0-9a-f]{32,}", 0)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+s AS (
+  SELECT doc_id, o, kind, length(v[i]) AS size, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a, length(m[i]) AS n FROM i),
+r AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, o) AS spans
+  FROM s WHERE o > 0 OR size >= 8 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256
+FROM t LEFT JOIN r USING (doc_id)"""
+
+# crc32 of the id as text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295)"""
+
+_WORDS_SQL = rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, {_CRC32} % 7 = 2 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), '') AS words FROM documents),
+x AS MATERIALIZED (SELECT doc_id, held_out, unnest(words) AS g FROM w),
+c AS MATERIALIZED (SELECT g, count(*) AS c FROM x WHERE NOT held_out GROUP BY g),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS train_tokens, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, train_tokens,
+  round(sum(log10((coalesce(c, 0) + 1) / (train_tokens + v + 1))), 4) AS base_score
+FROM x LEFT JOIN c USING (g), n GROUP BY doc_id, held_out, train_tokens"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_embeddings": op7_embeddings, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets, "op10_language_model": op10_language_model, "secrets_base": secrets_base, "word_likelihood": word_likelihood}
+ORACLE_SQL = {"op1_minhash": _OP1_SQL, "op3_line_dedup": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op7_embeddings": _OP7_SQL, "secrets_base": _SECRETS_SQL, "word_likelihood": _WORDS_SQL}

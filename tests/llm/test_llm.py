@@ -337,3 +337,17 @@ def test_language_model_without_training_rows_or_texts(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0), (3, 0, 0), (1, 0, 0)]
     assert all(r.base_score == 0 and np.isfinite(r.score) for r in got)
     assert score_texts(table(spark, []), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_minhash", "op3_line_dedup", "op4_decontaminate", "op7_embeddings", "secrets_base", "word_likelihood"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from orebase.llm.queries import ORACLE_SQL, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got, want = QUERIES[name](spark, data).toPandas(), c.sql(ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols and sorted(map(tuple, got[cols].values.tolist())) == sorted(map(tuple, want[cols].values.tolist()))
