@@ -18,8 +18,10 @@ from .common import materialise, only, steps, string_column
 
 #: Pieces that one task packs; a group's last open sequences are what it can waste.
 GROUP = 40_000
-#: Chunks of text whose ids a worker keeps, of at most so many bytes each: 70 MB.
-MOST_CHUNKS, CHUNK_BYTES = 300_000, 48
+#: Chunks of text whose ids a worker keeps, of at most so many bytes each: about 45 bytes a chunk.
+MOST_CHUNKS, CHUNK_BYTES = 400_000, 48
+#: Text bytes of chunks that the tokenizer reads as one, and what stands there before a chunk that starts with a sign.
+RUN, LEAD = 1 << 14, " a"
 #: Text bytes per step.
 STEP = 8 << 20
 
@@ -45,7 +47,11 @@ class ChunkEncoder:
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and spec.get("normalizer") is None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cuts = plain and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
-        self.known: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        # Bytes of each token: a byte-level vocabulary spells one as a character, added tokens stand as they are.
+        vocabulary, added = self.tokenizer.get_vocab(), set(self.special)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t.encode()) if t in added else len(t) for t in vocabulary]
         blank = np.zeros(256, bool)
         blank[[*range(0x09, 0x0E), 0x20]] = True
         # Last bytes of white space beyond ASCII: nothing is cut behind them, whatever they end here.
@@ -75,27 +81,65 @@ class ChunkEncoder:
         at = np.flatnonzero(cut)
         return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw)), np.searchsorted(at, ends)
 
+    def _one_by_one(self, chunks: pa.Array) -> pa.Array:
+        out, texts = [], chunks.to_pylist()
+        for a in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
+        return pa.array(out, pa.large_binary())
+
+    def _joined(self, chunks: pa.Array, signs: np.ndarray) -> pa.Array | None:
+        """The ids of chunks that run on without a token across, read many at a time; those that start with a sign get a
+        letter before them. None if the tokens' bytes don't end where the chunks do."""
+        led = pc.if_else(pa.array(signs), pc.binary_join_element_wise(pa.scalar(LEAD, pa.large_string()), chunks, pa.scalar("", pa.large_string())), chunks)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(led).to_numpy(zero_copy_only=False))])
+        raw = b"".join(led.cast(pa.large_binary()).to_pylist())
+        texts = [raw[ends[a] : ends[b]].decode() for a, b in steps(led, RUN)]
+        found = [np.zeros(0, "<u4")]
+        for a in range(0, len(texts), 64):
+            found += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[a : a + 64], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        reached = np.concatenate([[0], np.cumsum(self.width[ids])])
+        # Of each chunk: where what leads it begins, and where it begins itself.
+        starts = np.append(np.stack([ends[:-1], ends[:-1] + len(LEAD) * signs], 1).ravel(), ends[-1])
+        at = np.searchsorted(reached, starts)
+        if reached[-1] != ends[-1] or (reached[at] != starts).any():
+            return None
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(ids)]).take(pa.array(np.arange(1, len(at), 2)))
+
+    def _encoded(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk, as bytes."""
+        if not self.cuts or not len(chunks):
+            return self._one_by_one(chunks)
+        ends = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        raw = np.frombuffer(chunks.buffers()[2], np.uint8)
+        signs = self.sign[raw[ends[:-1]]]
+        run_on = self.before[raw[ends[1:] - 1]] & (signs | self.blank[raw[ends[:-1]]])
+        many = self._joined(chunks.filter(pa.array(run_on)), signs[run_on]) if run_on.any() else None
+        if many is None:
+            return self._one_by_one(chunks)
+        rest = self._one_by_one(chunks.filter(pa.array(~run_on)))
+        place = np.where(run_on, np.cumsum(run_on) - 1, len(many) + np.cumsum(~run_on) - 1)
+        return pa.concat_arrays([many, rest]).take(pa.array(place))
+
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, which has at least a row in a large_string array."""
         chunks, first = self._chunks(texts)
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.known]
-        found = {}
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                found[c] = array("I", e.ids).tobytes()
-        parts = [self.known.get(c) if c in self.known else found[c] for c in distinct]
-        if len(self.known) + len(found) > MOST_CHUNKS:
-            self.known.clear()
-        self.known.update((c, i) for c, i in found.items() if len(c) <= CHUNK_BYTES)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(p) // 4 for p in parts], np.int64)
-        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
-        size = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])]
+        distinct = coded.dictionary
+        at = pc.index_in(distinct, value_set=self.known)
+        unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+        new = distinct.filter(pa.array(unknown))
+        found = self._encoded(new)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown] = len(self.known) + np.arange(len(new))
+        parts = pa.concat_arrays([self.known_ids, found]).take(pa.array(place))
+        # What is kept are the chunks so far, or those of this step alone where that is too many.
+        old, own, own_ids = ([], distinct, parts) if len(self.known) + len(new) > MOST_CHUNKS else ([(self.known, self.known_ids)], new, found)
+        short = pc.less_equal(pc.binary_length(own), CHUNK_BYTES)
+        self.known, self.known_ids = (pa.concat_arrays(x) for x in zip(*old, (own.filter(short), own_ids.filter(short))))
+        flat = parts.take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] // 4
+        ids = np.frombuffer(flat.buffers()[2], "<u4") if flat.buffers()[2] is not None else np.zeros(0, "<u4")
         bounds = ends[first]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
@@ -109,19 +153,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     """(doc_id, piece, start, length, ids_crc32) of every text's ids and end_id, cut into at most `capacity`."""
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, at, piece, start, length, crc = string_column(batch.column(1)), [], [], [], [], []
             for low, high in steps(texts, STEP):
-                for i, own in enumerate(encoder.ids(texts.slice(low, high - low)), low):
-                    ids = np.append(own, np.array([end_id], "<u4"))
-                    cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                for i, ids in enumerate(encoder.ids(texts.slice(low, high - low)), low):
+                    size = len(ids) + 1  # with the end
+                    cuts = [0, *range((size - 1) % capacity + 1, size + 1, capacity)]
                     for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         at.append(i)
                         piece.append(j)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(ids[a:b].tobytes()))
+                        crc.append(zlib.crc32(ids[a:b]))
+                    crc[-1] = zlib.crc32(end, crc[-1])
             yield pa.RecordBatch.from_arrays(
                 [pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )

@@ -13,7 +13,7 @@ from orebase.llm.embeddings import near_vectors
 from orebase.llm.language_model import Vocabulary, score_texts, train_model, word_counts
 from orebase.llm.line_dedup import dedup_lines
 from orebase.llm.minhash import near_duplicates
-from orebase.llm.packing import packed_documents
+from orebase.llm.packing import ChunkEncoder, packed_documents
 from orebase.llm.secrets import secret_spans, span_text
 from orebase.llm.token_fst import compiled, count_texts, token_counts
 
@@ -184,6 +184,32 @@ def test_packing_and_token_counts(spark):
         assert s.length.sum() <= 1024 and s.offset.tolist() == [0, *s.length.cumsum()[:-1]]
 
 
+def test_chunks_are_read_many_at_a_time():
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, 0
+
+        def encode_batch_fast(self, some, **how):
+            self.asked += len(some)
+            return self.inner.encode_batch_fast(some, **how)
+
+    t, e = Tokenizer.from_file(P.path("byte_bpe_50k.json")), ChunkEncoder(P.path("byte_bpe_50k.json"))
+    e.tokenizer = Counting(e.tokenizer)
+    rng = np.random.default_rng(6)
+    bits = ["a", "'s", "'re", "'", " ", "\n", "\t", "é", "中", "😀", "1", "!", "(", "-", "\x00", "\x85", " ", "​", "\u3000", "the", "'ll", " x", "<|endoftext|>", "<|end"]
+    some = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(3000)] + ["", "a", " ", "-", "ab" * 3000, " " * 700, "<|endoftext|>"]
+    for part in (some[:5], ["", ""], [], some, some[::-1]):
+        assert [x.tolist() for x in e.ids(pa.array(part, pa.large_string()))] == [t.encode(x, add_special_tokens=False).ids for x in part]
+    e.tokenizer.asked = 0
+    plain = [f"word{i} of{i}-that (by{i}), it{i}" for i in range(5000)]
+    assert [x.tolist() for x in e.ids(pa.array(plain, pa.large_string()))] == [x.ids for x in t.encode_batch(plain, add_special_tokens=False)]
+    assert e.tokenizer.asked < 1.1 * len(plain)  # the texts' first chunks, and few runs of the 20,000 others
+
+
 def test_token_machine_on_odd_texts():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
