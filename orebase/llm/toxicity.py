@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .common import ALNUM, Carried, Words, mix64, only, steps, string_column
 BITS = 20
 #: Labelled documents of each class that a model is fitted on, at most.
 MOST_PER_LABEL = 6000
+#: The step between sorted buckets that 16 bits don't hold any more.
+WIDE = (1 << 16) - 1
 
 
 def features(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +46,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return only(docs, id=id_col, **columns).join(F.broadcast(known.where(wanted)), "id"), share
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Sorted distinct numbers as 16-bit steps; a step of WIDE goes on without a number."""
+    step = np.diff(buckets, prepend=0)
+    wide, left = np.divmod(step, WIDE)
+    out = np.full(len(step) + int(wide.sum()), WIDE, np.uint16)
+    out[np.arange(len(step)) + np.cumsum(wide)] = left
+    return out.tobytes()
+
+
+def unpacked(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int32)[steps < WIDE]
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal for a logistic loss."""
 
@@ -51,7 +67,7 @@ class Ftrl:
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
 
-    def weights(self, at=slice(None)) -> np.ndarray:
+    def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         l1 = np.full(len(z), self.l1)
         l1[-1] = 0  # the intercept stands last
@@ -69,8 +85,11 @@ class Ftrl:
         rng = np.random.default_rng(7)
         for _ in range(epochs):
             for i in rng.permutation(use):
-                self.learn(rows[i], ys[i])
-        return self.weights()
+                self.learn(unpacked(rows[i]), ys[i])
+        at = np.append(np.flatnonzero(np.abs(self.z[:-1]) > self.l1), 1 << BITS)
+        out = np.zeros(len(self.z))
+        out[at] = self.weights(at)
+        return out
 
 
 def best_cut(margins: np.ndarray, ys: np.ndarray, weight: np.ndarray, recall_weight: float) -> float:
@@ -102,12 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(b - a + 1))
                 bucket = bucket[order]
-                out += [np.unique(bucket[x:y]).tobytes() for x, y in zip(ends, ends[1:])]
+                out += [packed(np.unique(bucket[x:y])) for x, y in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "y", "f"])
 
     kind = sample.select("id").schema[0].dataType.simpleString()
-    rows = sample.select("id", "t", "y").mapInArrow(run, f"id {kind}, y int, f binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
-    ys, fs = rows["y"].to_numpy(), [np.frombuffer(f.as_buffer(), np.int32) for f in rows["f"]]
+    rows = sample.select("id", "t", "y").mapInArrow(run, f"id {kind}, y int, f binary").toArrow()
+    order = pc.sort_indices(rows, [("id", "ascending"), ("f", "ascending")]).to_numpy()
+    ys, fs = rows["y"].to_numpy()[order], [np.frombuffer(f.as_buffer(), np.uint16) for f in rows["f"]]
+    fs = [fs[i] for i in order]
     if len(share) < 2 or not 0 < ys.sum() < len(ys):
         w = np.zeros((1 << BITS) + 1)
         w[-1] = {(): 0.0, (0,): -4.0, (1,): 4.0}.get(tuple(share), 0.0)
@@ -119,9 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, epochs
         for t in range(3):
             v = Ftrl().fit(fs, ys, np.flatnonzero(third != t), epochs)
             for i in np.flatnonzero(third == t):
-                margins[i] = v[fs[i]].sum() + v[-1]
+                margins[i] = v[unpacked(fs[i])].sum() + v[-1]
         moved = -best_cut(margins, ys, np.where(ys == 1, 1 / share[1], 1 / share[0]), recall_weight)
     w[-1] += moved
+    del rows, fs
+    pa.default_memory_pool().release_unused()
     return w.astype(np.float32)
 
 

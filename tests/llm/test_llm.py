@@ -245,6 +245,14 @@ def test_toxicity_keeps_the_prior_of_all_labels(spark):
         assert toxicity.toxicity(docs.limit(1), w).first().score == pytest.approx(0.1, abs=0.05)
 
 
+def test_toxicity_sends_features_as_short_steps():
+    rng = np.random.default_rng(8)
+    for buckets in ([], [0], [65534], [65535], [65536], [0, 1, 65536, 131071, 131072, 1048575], np.unique(rng.integers(0, 1 << toxicity.BITS, 2000))):
+        buckets = np.array(buckets, np.int32)
+        sent = toxicity.packed(buckets)
+        assert (toxicity.unpacked(np.frombuffer(sent, np.uint16)) == buckets).all() and len(sent) <= 2 * (len(buckets) + 16)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(30, 40))
