@@ -378,12 +378,13 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     return model
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", learned: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end per text. Counts and
     model come from the rows where `training` holds. base_score sums log10((c + 1) / (N + V + 1));
-    score sums the model's log10 probabilities. A null or empty text is its end alone. Rows
+    score sums the model's log10 probabilities; with learned=False it is left out and no model is trained, the
+    other columns come from the same steps. A null or empty text is its end alone. Rows
     that repeat are each counted and scored; other columns are ignored; an empty table gives an
     empty result, and without training rows N, V and every c are 0.
     """
@@ -391,9 +392,9 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     learn = base.where("training").select("key", "text")
     counts = materialise(word_counts(learn.select("text")), "word_counts")
     vocabulary = Vocabulary.of(counts)
-    if len(vocabulary.words):
+    if learned and len(vocabulary.words):
         vocabulary = grouped(learn, vocabulary)
-    model = train_model(learn, vocabulary)
+    model = train_model(learn, vocabulary) if learned else None
     spark = docs.sparkSession
     box = spark.sparkContext.broadcast((vocabulary, model))
     ln10 = float(np.log(10))
@@ -406,7 +407,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
                 distinct, codes, start = _occurrences(column, a, b)
                 kind, count = v.find(distinct)
                 classes = kind[codes]
-                logs = m.logs(classes, *_contexts(classes, start, v.end_class))
+                logs = m.logs(classes, *_contexts(classes, start, v.end_class)) if m else np.zeros(len(codes))
                 row = np.repeat(np.arange(b - a), np.diff(start))
                 held = count >= 0
                 own = np.where(held, np.log10(np.maximum(count, 0) + 1.0), 0.0)  # log10(c + 1)
@@ -434,11 +435,12 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         scored = scored.withColumns({"more": F.lit(0), "add": F.lit(0.0)})
     add = F.coalesce("add", F.lit(0.0))
     whole = float(np.log10(vocabulary.total + vocabulary.size + 1))
+    score = [(F.col("lm") + add).alias("score")] if learned else []
     return scored.select(
         "doc_id",
         "n_tokens",
         (F.col("held") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(vocabulary.total).cast("bigint").alias("train_tokens"),
         (F.col("own") + add - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("lm") + add).alias("score"),
+        *score,
     )

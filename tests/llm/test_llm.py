@@ -365,6 +365,20 @@ def test_language_model_beats_unigrams_on_held_out_texts(spark):
     assert got.s / got.n > got.b / got.n + 0.2
 
 
+def test_word_likelihood_trains_no_model(spark, monkeypatch):
+    from orebase.llm import language_model
+    from orebase.llm.queries import QUERIES
+
+    data, cols = "/root/testdata/sf0.001", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    whole = QUERIES["op10_language_model"](spark, data)
+    assert whole.columns == [*cols, "score"]
+    want = sorted(map(tuple, whole.select(*cols).withColumn("base_score", F.round("base_score", 4)).collect()))
+    for name in ("grouped", "train_model"):
+        monkeypatch.setattr(language_model, name, lambda *a: pytest.fail("a model is trained"))
+    got = QUERIES["word_likelihood"](spark, data)
+    assert got.columns == cols and sorted(map(tuple, got.collect())) == want
+
+
 def test_language_model_without_training_rows_or_texts(spark):
     rows = [(1, "a b"), (2, None), (1, "a b")]
     got = score_texts(table(spark, rows), F.lit(False)).orderBy("doc_id").collect()
